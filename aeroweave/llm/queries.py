@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sstable
+from . import licenses, minhash, mixing, packing, sstable
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,25 @@ def op1_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_table(table(spark, sf_dir, "documents"))
 
 
+def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op6_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"))
 
 
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sstable_tokens, op6_concat_and_cut)}
+    return {f.__name__: f for f in (op1_sstable_tokens, op4_pivotal_mix, op6_concat_and_cut, op9_license_rules, op10_minhash_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_rules": licenses.duckdb_sql()}
