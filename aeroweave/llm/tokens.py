@@ -35,6 +35,14 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in such vocabularies: printable ones for themselves, the
+    others, in order, for those from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 class ChunkEncoder:
     """Keeps two generations of known chunks: when the young one is full it becomes the old one, and what is
     met again moves back to the young one, so that frequent words stay."""
@@ -47,6 +55,7 @@ class ChunkEncoder:
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype("<u2") if small else np.dtype("<u4")
         self.code = "H" if small else "I"
+        self.byte_names = _byte_names()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -65,10 +74,23 @@ class ChunkEncoder:
         self.young.update((c, self.old[c]) for c in again)
         new = list(fresh.difference(again))
         if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.young.update(zip(new, [self.pack(e.ids) for e in found], strict=True))
+            words = [c for c in new if c[-1].isalpha() and c.lstrip(" ").isalpha() and (c.isascii() or max(c) < "ɐ")]
+            if words:
+                self.young.update(zip(words, self._merged(words), strict=True))
+                rest = [c for c in new if c not in self.young]
+            else:
+                rest = new
+            if rest:
+                found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+                self.young.update(zip(rest, [self.pack(e.ids) for e in found], strict=True))
         return new
 
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """A word of letters, with or without a space before it, is one piece: the library's merges apply to
+        its bytes at once, without the steps that keep track of places in the text."""
+        merge, pack, to = self.tokenizer.model.tokenize, self.pack, self.byte_names
+        return [pack([t.id for t in merge(c.encode().decode("latin-1").translate(to))]) for c in words]
+
     def encode(self, texts: Iterable[str | None], end: int | None = END_ID) -> list[bytes]:
         """The ids of each text (null: empty) in little-endian bytes of ``dtype``, then the end id."""
         tail = b"" if end is None else self.pack([end])
