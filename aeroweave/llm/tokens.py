@@ -17,7 +17,7 @@ import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 600_000
 LONG_CHUNK = 64
 
 #: A run of Latin letters before an ASCII character or the end; else a run without white space; white space
