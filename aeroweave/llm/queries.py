@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, licenses, minhash, mixing, packing, quality, sstable, style_tree, toxicity
+from . import covertree, licenses, linededup, minhash, mixing, packing, quality, sstable, style_tree, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"))
 
 
+def op7_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_products(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
         op4_pivotal_mix,
         op5_noisy_channel_toxicity,
         op6_concat_and_cut,
+        op7_segment_line_dedup,
         op8_dual_tree_topk,
         op9_license_rules,
         op10_minhash_join,
