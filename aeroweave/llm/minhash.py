@@ -9,9 +9,10 @@ still join two components is confirmed on the full sets.
 
 A list never becomes all its pairs. Round 1 takes from each list a spanning forest of its likely pairs, and
 from a long list the pairs with its first member. Round 2 looks only where confirmed links left a list in
-several components: short lists give their pairs across components; long ones are split by a second and third
-coordinate, and what still is long is compared in blocks, members outside the first member's component
-against all. Pairs inside one component are never needed, so no link between components is lost.
+several components: short lists give their pairs across components. Long ones whose members are unlike share
+but a passage and are split by a second coordinate; the others are compared in blocks, on full sets, members
+outside the first member's component against all. Pairs inside one component are never needed, so no link
+between components is lost.
 
 Classes are told apart by a 64-bit hash of the whole set and shingles by 64-bit hashes.
 """
@@ -36,9 +37,10 @@ PREFIX = 12
 MATCHES = 32
 LIKELY = 44
 LONG_LIST = 128
-FEW_OUTSIDE = 1024
-BLOCK = 512
-LEVELS = 3
+ALIKE = 20
+BLOCK = 2048
+SHARE = 512
+LEVELS = 2
 PERCENT = 75
 BROADCAST_ROWS = 500_000
 CACHE_WORDS = 300_000
@@ -144,13 +146,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
         yield _arrays(held)
 
 
-def _arrays(rows: pa.Table) -> tuple[np.ndarray, ...]:
+def _arrays(rows: pa.Table) -> tuple[np.ndarray | list[bytes], ...]:
     out = []
-    for c in rows.columns:
-        if pa.types.is_binary(c.type):
+    for name, c in zip(rows.column_names, rows.columns, strict=True):
+        if name == "sig":
             out.append(np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, COORDS))
         else:
-            out.append(c.to_numpy())
+            out.append(c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy())
     return tuple(out)
 
 
@@ -211,19 +213,17 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pair_batch(a, b)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns block, cls, n, sig, comp, outside: pairs of an outside row with any row, across components."""
-    for token, cls, n, sig, comp, outside in _lists(batches):
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        a, b = [], []
-        for s, size in zip(starts, np.diff(np.r_[starts, len(token)]), strict=True):
-            every = np.arange(s, s + size)
-            for i in every[outside[s : s + size] == 1]:
-                rest = every[comp[every] != comp[i]]
-                rest = rest[((sig[rest] == sig[i]).sum(axis=1) >= MATCHES) & _close(n, rest, i)]
-                a.append(np.full(len(rest), cls[i]))
-                b.append(cls[rest])
-        yield from _pair_batch(a, b)
+_COMPARED = T.StructType([T.StructField("token", T.LongType()), *_PAIRS.fields, T.StructField("matches", T.LongType()), T.StructField("close", T.BooleanType())])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns token, a, b, m, n, p, sig: in how many coordinates the signatures agree, and whether the sizes allow a link."""
+    for batch in batches:
+        if batch.num_rows:
+            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, COORDS) for k in (5, 6))
+            m, n = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            close = 100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array((p == q).sum(axis=1)), pa.array(close)], names=_COMPARED.names)
 
 
 _LINKS = T.StructType([*_PAIRS.fields, T.StructField("shared", T.LongType())])
@@ -243,6 +243,54 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared)], names=_LINKS.names)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns block, cls, comp, outside, found: links of an outside row with any row that join two components
+    not yet joined in the block.
+
+    The rows' sets are one inverted index; an outside row's intersections with all of them are one count.
+    """
+    for token, cls, comp, outside, found in _lists(batches):
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        a, b, shared = [], [], []
+        for s, size in zip(starts.tolist(), np.diff(np.r_[starts, len(token)]).tolist(), strict=True):
+            every = np.flatnonzero(outside[s : s + size] == 0) + s
+            ask = np.flatnonzero(outside[s : s + size] == 1) + s
+            if not len(every) or not len(ask):
+                continue
+            sets = [np.frombuffer(found[k], np.uint64) for k in every]
+            sizes = np.array([len(x) for x in sets])
+            values, place = np.unique(np.concatenate(sets), return_inverse=True)
+            owner = np.repeat(np.arange(len(every)), sizes)
+            mark = np.zeros(len(values) + 1, bool)
+            above: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while c in above:
+                    c = above[c]
+                return c
+
+            for i in ask:
+                own = np.frombuffer(found[i], np.uint64)
+                at = np.searchsorted(values, own)
+                at = at[values[np.minimum(at, len(values) - 1)] == own]
+                mark[at] = True
+                both = np.bincount(owner[mark[place]], minlength=len(every))
+                mark[at] = False
+                good = np.flatnonzero((100 * both >= PERCENT * (len(own) + sizes - both)) & (comp[every] != comp[i]))
+                if len(good):
+                    _, one = np.unique(comp[every[good]], return_index=True)
+                    for k in good[one].tolist():
+                        x, y = root(int(comp[i])), root(int(comp[every[k]]))
+                        if x != y:
+                            above[max(x, y)] = min(x, y)
+                            a.append(cls[i])
+                            b.append(cls[every[k]])
+                            shared.append(both[k])
+        if a:
+            x, y = np.array(a), np.array(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.array(shared, np.int64))], names=_LINKS.names)
+
+
 _SETS = T.StructType([T.StructField("cls", T.LongType()), T.StructField("found", T.BinaryType())])
 
 
@@ -262,8 +310,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _by_list(rows: DataFrame, key: str, work: Callable) -> DataFrame:
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, "cls").mapInArrow(work, _PAIRS)
+def _by_list(rows: DataFrame, key: str, work: Callable, shape: T.StructType) -> DataFrame:
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, "cls").mapInArrow(work, shape)
 
 
 class Join:
@@ -275,97 +323,98 @@ class Join:
         some = self.signed.where("cls is not null").groupBy("cls")
         self.classes = cut(some.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("posts").alias("posts")), "classes")
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(cls, found): the full sets of the classes in column cls of ``wanted``; a written table."""
+        ends = cut(self.classes.select("cls", "rep").join(wanted.select("cls").distinct(), "cls"), "wanted")
+        texts = self.docs.join(_small(ends), self.docs["doc_id"].eqNullSafe(ends["rep"])).select("cls", "text")
+        return cut(texts.mapInArrow(_full_sets, _SETS).dropDuplicates(["cls"]), "sets")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b, shared) among the pairs, on full sets."""
         pairs = cut(pairs.distinct(), "pairs")
-        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = cut(self.classes.select("cls", "rep").join(ends, "cls"), "wanted")
-        texts = self.docs.join(_small(wanted), self.docs["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text")
-        sets = cut(texts.mapInArrow(_full_sets, _SETS).dropDuplicates(["cls"]), "sets")
+        sets = self.sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))))
         left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("found").alias("p")), "a")
         full = left.join(sets.select(F.col("cls").alias("b"), F.col("found").alias("q")), "b")
         return cut(full.select("a", "b", "p", "q").mapInArrow(_confirm, _LINKS), "links")
 
-    def first_round(self) -> tuple[DataFrame, DataFrame]:
-        """(posts of lists with several members: token, size, cls; candidate pairs)."""
+    def first_round(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(posts of lists with several members: token, cls; long lists: token, alike; candidate pairs)."""
         posts = self.classes.select("cls", F.explode("posts").alias("token"))
         sizes = cut(posts.groupBy("token").agg(F.count("*").alias("size"), F.min("cls").alias("first")).where("size > 1"), "lists")
         members = cut(posts.join(sizes, "token").select("token", "size", "first", "cls"), "members")
         with_sig = members.join(self.classes.select("cls", "n", "sig"), "cls")
-        short = _by_list(with_sig.where(F.col("size") <= LONG_LIST).select("token", "cls", "n", "sig"), "token", _forest)
-        stars = members.where((F.col("size") > LONG_LIST) & (F.col("cls") != F.col("first")))
-        stars = stars.select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
-        return members, short.unionByName(self._enough(stars))
-
-    def _enough(self, pairs: DataFrame) -> DataFrame:
-        """Pairs with matches in enough coordinates and sizes near enough."""
-        sig = self.classes.select("cls", "n", "sig")
-        one = pairs.join(sig.select(F.col("cls").alias("a"), F.col("n").alias("m"), F.col("sig").alias("p")), "a")
-        two = one.join(sig.select(F.col("cls").alias("b"), "n", F.col("sig").alias("q")), "b")
-        return two.where(100 * F.least("m", "n") >= PERCENT * F.greatest("m", "n")).select("a", "b", "p", "q").mapInArrow(_count, _PAIRS)
-
-    def second_round(self, members: DataFrame, comps: DataFrame) -> DataFrame | None:
-        """Candidate pairs that could still join two components; None if no list has several."""
-        named = members.select("token", "cls").join(comps.withColumnRenamed("id", "cls"), "cls", "left")
+        short = _by_list(with_sig.where(F.col("size") <= LONG_LIST).select("token", "cls", "n", "sig"), "token", _forest, _PAIRS)
+        long = with_sig.where((F.col("size") > LONG_LIST) & (F.col("cls") != F.col("first")))
+        head = self.classes.select(F.col("cls").alias("first"), F.col("n").alias("m"), F.col("sig").alias("p"))
+        stars = cut(long.join(head, "first").select("token", F.col("first").alias("a"), F.col("cls").alias("b"), "m", "n", "p", "sig").mapInArrow(_compare, _COMPARED), "stars")
+        alike = stars.groupBy("token").agg(F.avg("matches").alias("alike"))
+        return members.select("token", "cls"), alike, short.unionByName(stars.where(F.col("close") & (F.col("matches") >= MATCHES)).select("a", "b"))
+
+    def second_round(self, members: DataFrame, alike: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """(candidate pairs, links) that could still join two components; None if no list has several.
+
+        Long lists whose members are unlike their first one share just some passage: they are split by a
+        further coordinate. Long lists of similar sets are compared in blocks, on the full sets.
+        """
+        named = members.join(comps.withColumnRenamed("id", "cls"), "cls", "left")
         named = named.select("token", "cls", F.coalesce("component", "cls").alias("comp"))
-        out: DataFrame | None = None
+        pairs = links = None
         for level in range(1, LEVELS + 1):
             named = cut(named, "named")
             lists = named.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("cls", "comp")).alias("head"))
-            lists = cut(lists.where("low != high").select("token", "size", F.col("head.comp").alias("main")), "mixed")
+            lists = lists.where("low != high").select("token", "size", F.col("head.comp").alias("main"))
+            lists = cut(lists.join(alike, "token", "left") if level == 1 else lists.withColumn("alike", F.lit(None).cast("double")), "mixed")
             if not lists.take(1):
                 break
             mixed = cut(named.join(lists, "token"), "mixed-rows")
-            full = mixed.join(self.classes.select("cls", "n", "sig", "posts"), "cls")
-            found = _by_list(full.where(F.col("size") <= LONG_LIST).select("token", "cls", "n", "sig", "comp"), "token", _across)
-            out = found if out is None else out.unionByName(found)
-            outside = mixed.where((F.col("size") > LONG_LIST) & (F.col("comp") != F.col("main"))).groupBy("token").agg(F.count("*").alias("out"))
-            outside = cut(outside, "outside")
-            few = outside if level == LEVELS else outside.where(F.col("out") <= FEW_OUTSIDE)
-            out = out.unionByName(self._in_blocks(mixed, few))
-            many = outside.where(F.col("out") > FEW_OUTSIDE).select("token")
-            if level == LEVELS or not many.take(1):
+            short = mixed.where(F.col("size") <= LONG_LIST).join(self.classes.select("cls", "n", "sig"), "cls")
+            found = _by_list(short.select("token", "cls", "n", "sig", "comp"), "token", _across, _PAIRS)
+            pairs = found if pairs is None else pairs.unionByName(found)
+            long = mixed.where(F.col("size") > LONG_LIST)
+            whole = long if level == LEVELS else long.where(F.col("alike") >= ALIKE)
+            if whole.take(1):
+                block_links = self._in_blocks(whole)
+                links = block_links if links is None else links.unionByName(block_links)
+            if level == LEVELS:
                 break
-            further = full.join(many, "token").select("token", "cls", "comp", F.explode("posts").alias("other"))
-            named = further.where("token != other").select(F.xxhash64("token", "other").alias("token"), "cls", "comp")
-        return out
-
-    def _in_blocks(self, mixed: DataFrame, lists: DataFrame) -> DataFrame:
-        rows = mixed.join(lists, "token").withColumn("outside", (F.col("comp") != F.col("main")).cast("int"))
-        rows = rows.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("shares", F.ceil(F.col("out") / LONG_LIST).cast("int"))
+            unlike = long.where(F.coalesce("alike", F.lit(0.0)) < ALIKE).select("token", "cls", "comp")
+            if not unlike.take(1):
+                break
+            further = unlike.join(self.classes.select("cls", "posts"), "cls").select("token", "cls", "comp", F.explode("posts").alias("other")).where("token != other")
+            both = F.xxhash64(F.least("token", "other"), F.greatest("token", "other"))
+            named = further.select(both.alias("token"), "cls", "comp").distinct()
+        return None if pairs is None else (pairs, links)
+
+    def _in_blocks(self, rows: DataFrame) -> DataFrame:
+        outside = rows.where("comp != main").groupBy("token").agg(F.count("*").alias("out"))
+        rows = rows.join(cut(outside, "outside"), "token").withColumn("outside", (F.col("comp") != F.col("main")).cast("int"))
+        rows = rows.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("shares", F.ceil(F.col("out") / SHARE).cast("int"))
+        rows = cut(rows.select("token", "cls", "comp", "outside", "chunks", "shares"), "block-rows")
         chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
         share = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("shares")).cast("int")
         block = F.xxhash64("token", "chunk", "share").alias("block")
         # each row stands once in each share of the outside rows; each outside row once in each chunk of all rows
         every = rows.withColumn("chunk", chunk).withColumn("share", F.explode(F.expr("sequence(0, shares - 1)"))).select(block, "cls", "comp", F.lit(0).alias("outside"))
         those = rows.where("outside = 1").withColumn("share", share).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).select(block, "cls", "comp", F.lit(1).alias("outside"))
-        both = every.unionByName(those).join(self.classes.select("cls", "n", "sig"), "cls")
-        return _by_list(both.select("block", "cls", "n", "sig", "comp", "outside"), "block", _blocks)
+        both = every.unionByName(those).join(self.sets(rows), "cls")
+        return cut(_by_list(both.select("block", "cls", "comp", "outside", "found"), "block", _blocks, _LINKS), "block-links")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(confirmed links that connect every component, components of classes with a link)."""
-        members, pairs = self.first_round()
+        members, alike, pairs = self.first_round()
         links = self.confirmed(pairs)
         comps = cut(components(links), "components")
-        more = self.second_round(members, comps)
+        more = self.second_round(members, alike, comps)
         if more is not None:
-            tested = links.select("a", "b")
-            extra = self.confirmed(more.distinct().join(tested, ["a", "b"], "left_anti"))
+            pairs, found = more
+            extra = self.confirmed(pairs.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"))
+            extra = extra if found is None else extra.unionByName(found)
             if extra.take(1):
                 links = links.unionByName(extra)
                 comps = cut(components(links), "components")
         return links, comps
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, COORDS) for k in (2, 3))
-            keep = pa.array((p == q).sum(axis=1) >= MATCHES)
-            a, b = batch.column(0).filter(keep), batch.column(1).filter(keep)
-            yield pa.RecordBatch.from_arrays([a, b], names=_PAIRS.names)
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -383,3 +432,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = join.signed.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their component; repeated rows once."""
+    kept = cut(near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__times")), "kept")
+    name = next(c for c in docs.columns if c.lower() == "doc_id")
+    key = F.col(f"`{name}`").cast("long").eqNullSafe(F.col("__kept"))
+    rows = docs.join(_small(kept), key, "left_semi")
+    if not kept.where(F.col("__times") > 1).take(1):
+        return rows
+    text = next(c for c in docs.columns if c.lower() == "text")
+    return rows.dropDuplicates([name, text])

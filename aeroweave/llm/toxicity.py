@@ -324,6 +324,19 @@ def score(docs: DataFrame, model: CharModel, classifier: Classifier) -> DataFram
     return rows.select("doc_id", "text", held.alias("held_out")).mapInArrow(work, _OUT)
 
 
+def without_toxic(docs: DataFrame, model: CharModel, classifier: Classifier) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted toxic."""
+    wanted, place = classifier.starts(), [c.lower() for c in docs.columns].index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model)
+        for part in slices(batches):
+            texts = part.column(place).to_pylist()
+            yield part.filter(pa.array([classifier.score(restorer.marks(t, wanted)) < REJECT_AT for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[CharModel, Classifier]:
     model = char_model(docs)
     return model, fit(docs, labels, model, rows)
