@@ -135,7 +135,8 @@ def rules() -> list[tuple[int, str, str, int, float, str]]:
         for form in _expanded(name):
             for notice, priority, confidence in NOTICES:
                 out.append((label, keyword, priority, confidence, notice.replace("{}", form)))
-            out.append((label, keyword, 1, 0.6, f"{form} (license|licence)"))
+            whole = form.endswith(("license", "licen[cs]e"))  # such a name is a detection by itself
+            out.append((label, keyword, 1, 0.6, form if whole else f"{form} (license|licence)"))
             choice = "|".join(sorted(versions, key=lambda v: (-len(v), v)))
             if versions:
                 for notice, priority, confidence in VERSIONED:
