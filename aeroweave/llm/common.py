@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,18 +56,37 @@ def columns(df: DataFrame, **types: T.DataType) -> DataFrame:
     return df.select(*[(F.col(f"`{have[n.lower()]}`").cast(t) if n.lower() in have else F.lit(None).cast(t)).alias(n) for n, t in types.items()])
 
 
+#: Caches of a Python worker that are worth keeping within a task only.
+task_caches: list[dict] = []
+
+
+def give_back() -> None:
+    """Memory that a task no longer needs goes back to the system: a worker serves many tasks, and the next one
+    may be of another operator."""
+    for cache in task_caches:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of Arrow batches, so that only a few texts at a time become Python objects.
 
     ``size`` bounds the bytes of a slice of ordinary rows; one longer text is a slice of its own.
     """
-    for b in batches:
-        n = b.num_rows
-        if not n:
-            continue
-        step = max(1, min(rows, int(size * n / max(1, b.nbytes))))
-        for i in range(0, n, step):
-            yield b.slice(i, step)
+    give_back()  # what an operator before this one left
+    try:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            step = max(1, min(rows, int(size * n / max(1, b.nbytes))))
+            for i in range(0, n, step):
+                yield b.slice(i, step)
+    finally:
+        give_back()
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, columns, cut, slices
+from .common import as_bytes, columns, cut, slices, task_caches
 from .components import components
 
 SHINGLE = 5
@@ -58,6 +58,7 @@ class _Words(dict):
 
 
 _words = _Words()
+task_caches.append(_words)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

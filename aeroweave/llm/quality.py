@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, columns, slices
+from .common import as_bytes, columns, slices, task_caches
 
 TRAIN_ROWS = 20_000
 MIN_WORDS = 50
@@ -63,6 +63,7 @@ class _Words(dict):
 
 
 _words = _Words()
+task_caches.append(_words)
 
 
 def statistics(text: bytes | None) -> tuple[list[int], list[float]]:
