@@ -54,7 +54,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, place = tokens.encoder(path), TaskContext.get().partitionId(), 0
         wide = encoder.dtype.itemsize
-        for piece in slices(batches, rows=512, size=4 << 20):
+        for piece in slices(batches, rows=512, size=1 << 20):
             values = encoder.encode(piece.column(1).to_pylist())
             n = np.array([len(v) // wide for v in values], np.int64)
             places = place + np.cumsum(n) - n
