@@ -51,7 +51,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # texts that hold the string of an added token, like those with odd white space, are encoded at once
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_ODD.pattern, *added]))
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype("<u2") if small else np.dtype("<u4")
         self.code = "H" if small else "I"
@@ -96,7 +98,7 @@ class ChunkEncoder:
         tail = b"" if end is None else self.pack([end])
         parts: list[list[str]] = []
         for text in texts:
-            if text and _ODD.search(text):
+            if text and self.whole.search(text):
                 parts.append([text])
             else:
                 parts.append(_CHUNK.findall(text or ""))
