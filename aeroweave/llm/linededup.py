@@ -14,7 +14,8 @@ long gives the pairs with its first member; once these are verified, its members
 component are compared with all, in blocks. Pairs inside a component are not needed.
 
 Only lines of at least ``LEAST_CHARS`` characters take part; of each class of near copies the first line, by
-doc_id and line number, stays. Rows of the same doc_id count as one document: what stays in one stays in all.
+doc_id and line number, stays. Rows that agree in doc_id and text count as one document: what stays in one stays
+in all. Rows of one doc_id, or of none, with different texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +138,7 @@ _LINES = T.StructType(
         T.StructField("h2", T.LongType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("line", T.IntegerType()),
+        T.StructField("unit", T.LongType()),
     ]
 )
 _POSTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("sketch", T.LongType())])
@@ -149,13 +151,13 @@ def _key(data: bytes, begin: int, end: int, length: int, segment: int) -> int:
 
 
 def _read_lines(edits: int, least: int):
-    """Rows (0, h1, h2, doc_id, line) of lines, and (1, key, count, null, null) of keys that a task met often."""
+    """Rows (0, h1, h2, doc_id, line, unit) of lines, and (1, key, count, nulls) of keys that a task met often."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[int] = Counter()
         for part in slices(batches):
-            h1, h2, doc, number = [], [], [], []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            h1, h2, doc, number, units = [], [], [], [], []
+            for doc_id, text, unit in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 for i, line in long_lines(text, least):
                     data = line.encode("utf-32-le", "surrogatepass")
                     a, b = line_hash(data)
@@ -163,17 +165,18 @@ def _read_lines(edits: int, least: int):
                     h2.append(b)
                     doc.append(doc_id)
                     number.append(i)
+                    units.append(unit)
                     size = len(line)
                     counts.update([_key(data, x, y, size, k) for k, (x, y) in enumerate(segments(size, edits))])
             if len(counts) > 10 * COUNTED_KEYS:
                 counts = Counter(dict(counts.most_common(COUNTED_KEYS)))
             if h1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h1), np.int32)), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(doc, pa.int64()), pa.array(number, pa.int32())], names=_LINES.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h1), np.int32)), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(units, pa.int64())], names=_LINES.names)
         often = [(k, n) for k, n in counts.items() if n >= 8]
         if often:
             keys, n = zip(*often, strict=True)
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(n, pa.int64()), none, none.cast(pa.int32())], names=_LINES.names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(n, pa.int64()), none, none.cast(pa.int32()), none], names=_LINES.names)
 
     return work
 
@@ -336,15 +339,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def unit_key(text: Column) -> Column:
+    """With the doc_id: whose line it is."""
+    return F.xxhash64(text)
+
+
 class LineJoin:
     def __init__(self, docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS):
         self.edits, self.least = edits, least
-        self.docs = columns(docs, doc_id=T.LongType(), text=T.StringType())
+        self.docs = columns(docs, doc_id=T.LongType(), text=T.StringType()).withColumn("unit", unit_key(F.col("text")))
         read = cut(self.docs.mapInArrow(_read_lines(edits, least), _LINES), "lines")
         self.lines = read.where("kind = 0").drop("kind")
         often = read.where("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc()).limit(COUNTED_KEYS)
         self.frequent = frozenset(r["h1"] & ((1 << 64) - 1) for r in often.collect())  # at most COUNTED_KEYS numbers
-        order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line")
+        order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line", "unit")
         self.firsts = cut(self.lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("times")), "line-classes")
 
     def candidates(self) -> DataFrame:
@@ -354,9 +362,9 @@ class LineJoin:
     def verified(self, pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.distinct(), "line-pairs")
         ends = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
-        places = self.firsts.join(ends, "h1").select("h1", F.col("first.doc_id").alias("place"))
-        wanted = cut(places.groupBy("place").agg(F.collect_set("h1").alias("wanted")), "wanted-lines")  # lines of one document
-        found = self.docs.join(_small(wanted), self.docs["doc_id"].eqNullSafe(wanted["place"])).select("text", "wanted")
+        places = self.firsts.join(ends, "h1").select("h1", F.col("first.doc_id").alias("place"), F.col("first.unit").alias("whose"))
+        wanted = cut(places.groupBy("place", "whose").agg(F.collect_set("h1").alias("wanted")), "wanted-lines")  # lines of one document
+        found = self.docs.join(_small(wanted), self.docs["doc_id"].eqNullSafe(wanted["place"]) & (self.docs["unit"] == wanted["whose"])).select("text", "wanted")
         texts = cut(found.mapInArrow(_wanted_lines(self.least), _TEXTS).distinct(), "line-texts")
         left = pairs.join(texts.select(F.col("h1").alias("a"), F.col("content").alias("p")), "a")
         both = left.join(texts.select(F.col("h1").alias("b"), F.col("content").alias("q")), "b").select("a", "b", "p", "q")
@@ -400,15 +408,15 @@ class LineJoin:
         return self._close(met.where("one != two")).distinct()
 
     def decisions(self) -> DataFrame:
-        """doc_id, line, keep, class_doc, class_line for every line that takes part."""
+        """doc_id, unit, line, keep, class_doc for every line that takes part."""
         _, comps = self.links()
         named = self.firsts.join(comps.withColumnRenamed("id", "h1"), "h1", "left").select("h1", "h2", "first", F.coalesce("component", "h1").alias("class"))
         named = cut(named, "line-names")
         least = cut(named.groupBy("class").agg(F.min("first").alias("top")), "class-firsts")
         by_line = cut(named.join(least, "class").select("h1", "h2", "top"), "line-tops")
         rows = self.lines.join(by_line, ["h1", "h2"])
-        keep = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("line") == F.col("top.line"))
-        return rows.select("doc_id", "line", keep.alias("keep"), F.col("top.doc_id").alias("class_doc"))
+        keep = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("line") == F.col("top.line")) & (F.col("unit") == F.col("top.unit"))
+        return rows.select("doc_id", "unit", "line", keep.alias("keep"), F.col("top.doc_id").alias("class_doc"))
 
 
 _CLEAN = [T.StructField("clean", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -422,13 +430,13 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     are alike. Columns of the same names as the added ones are replaced. An empty table gives no rows.
     """
     gone = LineJoin(docs, edits, least).decisions().where("not keep")
-    gone = gone.groupBy(F.col("doc_id").alias("__gone")).agg(F.array_sort(F.collect_set("line")).alias("__lines"), F.array_sort(F.collect_set("class_doc")).alias("copies_of"))
+    gone = gone.groupBy(F.col("doc_id").alias("__gone"), F.col("unit").alias("__unit")).agg(F.array_sort(F.collect_set("line")).alias("__lines"), F.array_sort(F.collect_set("class_doc")).alias("copies_of"))
     gone = cut(gone, "removed-lines")  # per document: its own lines
     names = [n for n in docs.columns if n.lower() not in ("clean", "n_lines", "n_removed", "copies_of")]
     own = {n.lower(): n for n in docs.columns}
     key = F.col(f"`{own['doc_id']}`").cast("long") if "doc_id" in own else F.lit(None).cast("long")
-    joined = docs.join(_small(gone), key.eqNullSafe(F.col("__gone")), "left")
     text = F.col(f"`{own['text']}`").cast("string") if "text" in own else F.lit(None).cast("string")
+    joined = docs.join(_small(gone), key.eqNullSafe(F.col("__gone")) & (unit_key(text) == F.col("__unit")), "left")
     # line numbers are positions in the split text
     split = F.split(text, "\n")
     lines = F.coalesce("__lines", F.array().cast("array<int>"))

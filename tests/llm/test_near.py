@@ -134,3 +134,13 @@ def test_lines_hot(spark):
     head = "this is the licence of the programme that everybody shares "
     rows = [(k, head + f"{k * 37 % 1000:04d} {k * k % 9973:05d} tail {k % 7}", "x", "s", 0, *["?"] * 11) for k in range(500)]
     check_lines(spark.createDataFrame(rows, H.SHAPE))
+
+
+def test_lines_keep_rows_of_one_id_apart(spark):
+    """Rows without an id, and of one id, lose their own repeated lines only."""
+    long = [f"line {k} " + "of a text that stands nowhere else at all " + chr(97 + k) * 9 for k in range(8)]
+    rows = [(None, f"{H.LINE}\n{long[0]}"), (None, f"{long[1]}\n{H.LINE}"), (None, f"{long[2]}\n{long[3]}\n{long[4]}"), (7, f"{long[5]}\n{H.LINE}"), (7, f"{long[6]}\n{long[7]}")]
+    got = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [t if k == 0 else "\n".join(p for p in t.split("\n") if p != H.LINE) for k, (_, t) in enumerate(rows)]
+    assert sorted(r["clean"] for r in got) == sorted(want)
+    assert sorted(r["n_removed"] for r in got) == [0, 0, 0, 1, 1]
