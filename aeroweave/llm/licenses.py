@@ -1,14 +1,17 @@
 """License scan by ordered signature rules, in DataFrame operations only.
 
 A text becomes its words, each with a space before and after it, so a rule is a regular expression that
-starts and ends at word borders and needs no look-around. Every rule has a keyword; a cheap search for few
-stems lets most texts go, and on the rest only the rules whose keyword is there are tried. Detections are
+starts and ends at word borders and needs no look-around. Every rule is asked for by a word that its phrase
+cannot do without; a cheap search for these words lets most texts go, and on the rest only the rules whose
+word is there are tried. Detections are
 word intervals. One that lies inside another of the same or a higher priority is suppressed: a running
 maximum of interval ends, in order of starts, finds that without comparing pairs.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +25,6 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 IS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: A text without any of these stems has no place of a base phrase and none of a rule.
-STEMS = ("licen", "rights", "copyright", "copyleft", "spdx", "public", "gpl", "warrant", "cc")
-
 #: label; keyword; name in words ("?" behind a word: it may be missing); versions
 FAMILIES = (
     ("apache", "apache", "apache software? foundation?", ("1 0", "1 1", "2 0", "2")),
@@ -145,8 +145,25 @@ def rules() -> list[tuple[int, str, str, int, float, str]]:
     return [(i, label, keyword, priority, confidence, pattern(phrase)) for i, (label, keyword, priority, confidence, phrase) in enumerate(out)]
 
 
+def sure_words(regex: str) -> list[str]:
+    """The words that stand in every text of a rule, in order."""
+    while (left := re.sub(r"\(\?:[^()]*\)\??", " ", regex)) != regex:
+        regex = left
+    return [w for w in regex.split() if w.isalnum()]
+
+
+def asked_rules() -> list[tuple[int, str, str, int, float, str]]:
+    """The rules; where the keyword need not stand in the phrase, the longest word that must takes its place."""
+    out = []
+    for i, label, keyword, priority, confidence, regex in rules():
+        words = sure_words(regex)
+        out.append((i, label, keyword if keyword in words else max(words, key=len), priority, confidence, regex))
+    return out
+
+
 def keywords() -> list[str]:
-    return sorted({r[2] for r in rules()})
+    """A text without any of these words has no place of a rule and none of a base phrase."""
+    return sorted({r[2] for r in asked_rules()})  # the base phrases are rules too
 
 
 def _spaces(c: Column) -> Column:
@@ -160,15 +177,15 @@ def _norm(text: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n_words and, where a stem is found, norm. A written table with one row a document."""
+    """rid, doc_id, n_words and, where a keyword is found as a word, norm. A written table with one row a document."""
     rows = columns(docs, doc_id=T.LongType(), text=T.StringType()).withColumn("text", F.coalesce("text", F.lit("")))
     low = F.lower("text")  # finds at least what A-Z in lower case finds
     gate = F.lit(False)
-    for stem in STEMS:
-        gate = gate | F.contains(low, F.lit(stem))
+    for word in keywords():
+        gate = gate | F.contains(low, F.lit(word))
     n_words = F.regexp_count("text", F.lit(IS_WORD)).cast("long")
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", n_words.alias("n_words"), F.when(gate, F.col("text")).alias("some"))
-    rows = rows.select("rid", "doc_id", "n_words", "some", F.col("some").rlike(r"(?i)licen|rights|copyright|copyleft|spdx|gpl|public.{1,9}domain|warrant|cc[^0-9a-z]").alias("look"))
+    rows = rows.select("rid", "doc_id", "n_words", "some", F.col("some").rlike(rf"(?i)(?:^|{NOT_WORD[:-1]})(?:{'|'.join(keywords())})(?:{NOT_WORD[:-1]}|$)").alias("look"))
     return cut(rows.select("rid", "doc_id", "n_words", F.when(F.col("look"), _norm(F.col("some"))).alias("norm")), "scanned")
 
 
@@ -192,10 +209,10 @@ def base_places(scan: DataFrame) -> DataFrame:
 def detections(scan: DataFrame) -> DataFrame:
     """All places of all rules: rid, rule_id, label, priority, confidence, first, last (words from 0, inclusive)."""
     spark = scan.sparkSession
-    table = spark.createDataFrame(rules(), "rule_id int, label string, keyword string, priority int, confidence double, pattern string")
+    table = spark.createDataFrame(asked_rules(), "rule_id int, label string, keyword string, priority int, confidence double, pattern string")
     texts = scan.where("norm is not null").select("rid", "norm")
     keys = F.array(*map(F.lit, keywords()))
-    asked = texts.select("rid", "norm", F.explode(F.filter(keys, lambda k: F.contains(F.col("norm"), k))).alias("keyword"))
+    asked = texts.select("rid", "norm", F.explode(F.filter(keys, lambda k: F.contains(F.col("norm"), F.concat(F.lit(" "), k, F.lit(" "))))).alias("keyword"))
     tried = asked.join(F.broadcast(table), "keyword").where("norm rlike pattern")  # the rules are a constant of this module
     places = tried.select("rid", "rule_id", "label", "priority", "confidence", F.split("norm", F.col("pattern")).alias("pieces"), F.expr("regexp_extract_all(norm, pattern, 0)").alias("found"))
     pairs = F.arrays_zip(F.slice("pieces", F.lit(1), F.size("found")).alias("piece"), F.col("found"))

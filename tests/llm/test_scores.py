@@ -1,5 +1,6 @@
 """Quality, toxicity, licenses, mixing, pages, search."""
 
+import re
 import zlib
 
 import duckdb
@@ -119,6 +120,38 @@ def test_license_rules(spark):
     assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs).collect()} == {k: v for k, (_, v) in cases.items()}
 
 
+def shortest(regex):
+    """A text of the rule: no word that may be missing, of others the first."""
+    regex = regex.replace("[12][90][0-9][0-9]", "1999").replace("[cs]", "c")
+    while "(?:" in regex:
+        regex = re.sub(r"\(\?:([^()|]*)[^()]*\)(\??)", lambda m: "" if m[2] else m[1], regex)
+    return " ".join(regex.split())
+
+
+def test_license_rules_alone(spark):
+    """Every rule finds a text that holds nothing but its phrase."""
+    rules = licenses.rules()
+    docs = spark.createDataFrame([(r[0], shortest(r[5])) for r in rules], "doc_id long, text string")
+    scan = licenses.scanned(docs)
+    found = {(r["doc_id"], r["rule_id"]) for r in licenses.detections(scan).join(scan.select("rid", "doc_id"), "rid").collect()}
+    assert not [r for r in rules if (r[0], r[0]) not in found]
+
+
+def test_license_texts_without_stems(spark):
+    cases = {
+        1: ("Distributed under Apache 2.0", "apache"),
+        2: ("Released under MPL 2.0", "mpl"),
+        3: ("Published under Creative Commons Attribution 4.0", "cc-by"),
+        4: ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+        5: ("Released under CC0 1.0", "cc0"),
+        6: ("in the public\ndomain", "public-domain"),
+        7: ("No part of this publication may be reproduced", "reserved"),
+        8: ("a commitment of some generality; disclosed", ""),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs).collect()} == {k: v for k, (_, v) in cases.items()}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
