@@ -13,7 +13,8 @@ under five bands of the counts instead: four classes that differ leave one band
 long gives the pairs with its first member; once these are verified, its members outside the first member's
 component are compared with all, in blocks. Pairs inside a component are not needed.
 
-Only lines of at least ``LEAST_CHARS`` characters take part; of each class of near copies the first line, by
+Lines of at least ``LEAST_CHARS`` characters take part in the edit join. Shorter ones, down to ``exact``
+characters, are equal or not: their class is the line itself. Blank lines stay. Of each class of near copies the first line, by
 doc_id and line number, stays. Rows that agree in doc_id and text count as one document: what stays in one stays
 in all. Rows of one doc_id, or of none, with different texts are documents of their own.
 """
@@ -150,7 +151,7 @@ def _key(data: bytes, begin: int, end: int, length: int, segment: int) -> int:
     return xxhash.xxh3_64_intdigest(data[4 * begin : 4 * end], length * 16 + segment)
 
 
-def _read_lines(edits: int, least: int):
+def _read_lines(edits: int, least: int, exact: int):
     """Rows (0, h1, h2, doc_id, line, unit) of lines, and (1, key, count, nulls) of keys that a task met often."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +159,7 @@ def _read_lines(edits: int, least: int):
         for part in slices(batches):
             h1, h2, doc, number, units = [], [], [], [], []
             for doc_id, text, unit in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                for i, line in long_lines(text, least):
+                for i, line in long_lines(text, min(least, exact)):
                     data = line.encode("utf-32-le", "surrogatepass")
                     a, b = line_hash(data)
                     h1.append(a)
@@ -167,6 +168,8 @@ def _read_lines(edits: int, least: int):
                     number.append(i)
                     units.append(unit)
                     size = len(line)
+                    if size < least:
+                        continue
                     counts.update([_key(data, x, y, size, k) for k, (x, y) in enumerate(segments(size, edits))])
             if len(counts) > 10 * COUNTED_KEYS:
                 counts = Counter(dict(counts.most_common(COUNTED_KEYS)))
@@ -345,10 +348,10 @@ def unit_key(text: Column) -> Column:
 
 
 class LineJoin:
-    def __init__(self, docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS):
+    def __init__(self, docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, exact: int = LEAST_CHARS):
         self.edits, self.least = edits, least
         self.docs = columns(docs, doc_id=T.LongType(), text=T.StringType()).withColumn("unit", unit_key(F.col("text")))
-        read = cut(self.docs.mapInArrow(_read_lines(edits, least), _LINES), "lines")
+        read = cut(self.docs.mapInArrow(_read_lines(edits, least, exact), _LINES), "lines")
         self.lines = read.where("kind = 0").drop("kind")
         often = read.where("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc()).limit(COUNTED_KEYS)
         self.frequent = frozenset(r["h1"] & ((1 << 64) - 1) for r in often.collect())  # at most COUNTED_KEYS numbers
@@ -422,14 +425,15 @@ class LineJoin:
 _CLEAN = [T.StructField("clean", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
 
 
-def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, exact: int = LEAST_CHARS) -> DataFrame:
     """All columns of ``docs``, and: clean (the text without its removed lines; null stays null), n_lines,
     n_removed, copies_of (sorted doc_ids in which the removed lines stay).
 
-    Empty texts have one line, null texts none. A line without enough characters always stays. Repeated rows
+    Empty texts have one line, null texts none. A line of fewer than ``least`` characters
+    goes only as an exact repeat, one of fewer than ``exact`` and ``least`` never; with 1 all lines but blank ones take part. Repeated rows
     are alike. Columns of the same names as the added ones are replaced. An empty table gives no rows.
     """
-    gone = LineJoin(docs, edits, least).decisions().where("not keep")
+    gone = LineJoin(docs, edits, least, exact).decisions().where("not keep")
     gone = gone.groupBy(F.col("doc_id").alias("__gone"), F.col("unit").alias("__unit")).agg(F.array_sort(F.collect_set("line")).alias("__lines"), F.array_sort(F.collect_set("class_doc")).alias("copies_of"))
     gone = cut(gone, "removed-lines")  # per document: its own lines
     names = [n for n in docs.columns if n.lower() not in ("clean", "n_lines", "n_removed", "copies_of")]
@@ -453,5 +457,5 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
 def report(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, copies_of, n_chars and crc32 of the text that stays."""
     clean = F.coalesce("clean", F.lit(""))
-    rows = deduplicated(columns(docs, doc_id=T.LongType(), text=T.StringType()))
+    rows = deduplicated(columns(docs, doc_id=T.LongType(), text=T.StringType()), exact=1)
     return rows.select("doc_id", "n_lines", "n_removed", "copies_of", F.length(clean).cast("long").alias("n_chars"), F.crc32(clean.cast("binary")).alias("text_crc32"))

@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are near copies of earlier ones; a document of such lines only goes."""
-    clean = linededup.deduplicated(docs)
+    clean = linededup.deduplicated(docs, exact=1)
     left = clean.where((F.col("n_removed") == 0) | (F.trim("clean") != ""))
     named = {"text": F.col("clean"), "n_chars": F.when(F.col("n_removed") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))}
     return left.select(*[named.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -1,5 +1,8 @@
 """Near duplicates and repeated lines against all pairs."""
 
+import zlib
+
+import corpus_pipeline
 import helpers as H
 
 from aeroweave.llm import components, linededup, minhash
@@ -144,3 +147,20 @@ def test_lines_keep_rows_of_one_id_apart(spark):
     want = [t if k == 0 else "\n".join(p for p in t.split("\n") if p != H.LINE) for k, (_, t) in enumerate(rows)]
     assert sorted(r["clean"] for r in got) == sorted(want)
     assert sorted(r["n_removed"] for r in got) == [0, 0, 0, 1, 1]
+
+
+def test_short_lines(spark):
+    """Exact repeats of short lines go in op7 and in the pipeline, against a plain count of lines."""
+    texts = [(1, "Wh the.\nab\n\nWh the. \n  ab\n"), (2, "Wh the.\nac\n\nnew"), (3, "a" * 39 + "\n" + "a" * 38 + "b"), (4, "a" * 39 + "\nab\r\nrest")]
+    seen, want = set(), {}
+    for i, t in texts:
+        kept = []
+        for line in t.split("\n"):
+            if not line.strip() or line.strip() not in seen:
+                kept.append(line)
+            seen.add(line.strip())
+        want[i] = "\n".join(kept)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r["doc_id"]: r["clean"] for r in linededup.deduplicated(docs, exact=1).collect()} == want
+    assert {r["doc_id"]: r["text_crc32"] for r in linededup.report(docs).collect()} == {i: zlib.crc32(t.encode()) for i, t in want.items()}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, H.SF).collect()} == want
