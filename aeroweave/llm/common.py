@@ -7,7 +7,7 @@ import gc
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +20,14 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder stands in for it.
+    Only where a local session names none (tests) a temporary folder stands in for it; on a cluster that is
+    an error, since executors would write where nobody else can read.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="aeroweave-")
@@ -50,33 +53,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = 4 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python of ``BATCH_BYTES``, not of 10,000 texts, unless the session has its own bound."""
+    if spark.conf.get(_BATCH_CONF, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def columns(df: DataFrame, **types: T.DataType) -> DataFrame:
     """Just the named columns, cast; a column that is missing is null. Extra columns never clash."""
+    bounded_batches(df.sparkSession)
     have = {c.lower(): c for c in df.columns}
     return df.select(*[(F.col(f"`{have[n.lower()]}`").cast(t) if n.lower() in have else F.lit(None).cast(t)).alias(n) for n, t in types.items()])
 
 
 #: Caches of a Python worker that are worth keeping within a task only.
 task_caches: list[dict] = []
+#: Caches worth keeping from task to task of one operator: its name, and what drops them.
+operator_caches: dict[str, Callable[[], None]] = {}
 
 
-def give_back() -> None:
+def give_back(operator: str | None = None) -> None:
     """Memory that a task no longer needs goes back to the system: a worker serves many tasks, and the next one
-    may be of another operator."""
+    may be of another operator, for which only caches of ``operator`` stay."""
     for cache in task_caches:
         cache.clear()
+    for name, drop in operator_caches.items():
+        if name != operator:
+            drop()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 20, operator: str | None = None) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of Arrow batches, so that only a few texts at a time become Python objects.
 
     ``size`` bounds the bytes of a slice of ordinary rows; one longer text is a slice of its own.
     """
-    give_back()  # what an operator before this one left
+    give_back(operator)  # what an operator before this one left
     try:
         for b in batches:
             n = b.num_rows
@@ -86,9 +105,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 <<
             for i in range(0, n, step):
                 yield b.slice(i, step)
     finally:
-        give_back()
+        give_back(operator)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """Texts as UTF-8 bytes, without decoding them."""
     return column.cast(pa.binary()).to_pylist()
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, array: str | None = None) -> DataFrame:
+    """Broadcast a written table of numbers only if it has few bytes; else the join shuffles.
+
+    ``array``: a column of arrays of numbers, whose elements count as well.
+    """
+    elements = F.sum(F.size(array)) if array else F.lit(0)
+    found = df.agg(F.count("*").alias("n"), elements.alias("more")).first()
+    size = 8 * (found["n"] * 2 * len(df.columns) + (found["more"] or 0))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -1,18 +1,22 @@
 """Near-duplicate detection by an inverted join over signature coordinates, confirmed on full shingle sets.
 
-Each distinct shingle set (a class of copies) has a signature of ``COORDS`` minimum hashes. Classes are posted
-under the (coordinate, value) pairs of the first ``PREFIX`` coordinates: two sets of similarity 0.75 agree in
-none of 12 coordinates with probability 6e-8, so lists of the other coordinates need not be merged at all.
-Collisions are then counted over all coordinates by skipping through the signatures of a list's members, and
-pairs with ``MATCHES`` of 64 or more stay (missed at 0.75 with probability 6e-6). Every such pair that could
-still join two components is confirmed on the full sets.
-
-A list never becomes all its pairs. Round 1 takes from each list a spanning forest of its likely pairs, and
-from a long list the pairs with its first member. Round 2 looks only where confirmed links left a list in
-several components: short lists give their pairs across components. Long ones whose members are unlike share
-but a passage and are split by a second coordinate; the others are compared in blocks, on full sets, members
-outside the first member's component against all. Pairs inside one component are never needed, so no link
-between components is lost.
+Each distinct shingle set (a class of copies) has a signature of ``COORDS`` minimum hashes, and stands in a list
+for each (coordinate, value) pair. Two classes are candidates if they collide in ``MATCHES`` lists or more, which
+two sets of similarity 0.75 miss with probability 5e-6. Collisions are counted with prefix and skip merging: a
+class's lists are ordered by length, those where it is alone count for nothing, and a class with fewer than
+``MATCHES`` others collides with nobody often enough. Of the rest the ``MATCHES - 1`` longest are skipped: a
+candidate must also meet in one of the others, the prefix, which alone are merged. Whether the members of a merged
+list also meet in the skipped ones is looked up in their signatures. A passage that many documents share fills the
+longest lists, which are the ones that nobody merges.
+
+A merged list never becomes all its pairs. A short one gives a spanning forest of its likely pairs, a long one the
+pairs with its head, the member whose lists are the longest and so the nearest to what most members agree on.
+These pairs are confirmed on full sets. Lists of members that are now of one component are done. Of the others,
+short ones give their pairs across components, and the members of long ones are listed once more, under the
+rarest quarter of their full sets: sets of similarity 0.75 share one of these shingles for certain. Such lists
+are treated the same way; a long one that still has several components is compared in blocks, on full sets, the
+members outside the head's component against all. Pairs inside one component are never needed, so no link between
+components is lost.
 
 Classes are told apart by a 64-bit hash of the whole set and shingles by 64-bit hashes.
 """
@@ -24,25 +28,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, columns, cut, slices, task_caches
+from .common import as_bytes, columns, cut, slices, small, task_caches
 from .components import components
 
 SHINGLE = 5
 COORDS = 64
-PREFIX = 12
 MATCHES = 32
 LIKELY = 44
 LONG_LIST = 128
-ALIKE = 20
 BLOCK = 2048
 SHARE = 512
-LEVELS = 2
 PERCENT = 75
-BROADCAST_ROWS = 500_000
 CACHE_WORDS = 300_000
 
 _rng = np.random.default_rng(20240901)
@@ -102,6 +102,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 _SIGNED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("unit", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("cls", T.LongType()),
         T.StructField("sig", T.BinaryType()),
@@ -120,12 +121,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 least = signature(found)
                 cls.append(class_of(found))
                 sigs.append((least >> np.uint64(48)).astype("<u2").tobytes())
-                posts.append(_mix(least[:PREFIX] ^ _SALTS[:PREFIX]).view(np.int64).tolist())
+                posts.append(_mix(least ^ _SALTS).view(np.int64).tolist())
             else:
                 cls.append(None)
                 sigs.append(None)
                 posts.append(None)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sigs, pa.binary()), pa.array(posts, pa.list_(pa.int64()))], names=_SIGNED.names)
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sigs, pa.binary()), pa.array(posts, pa.list_(pa.int64()))], names=_SIGNED.names
+        )
 
 
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -214,17 +217,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pair_batch(a, b)
 
 
-_COMPARED = T.StructType([T.StructField("token", T.LongType()), *_PAIRS.fields, T.StructField("matches", T.LongType()), T.StructField("close", T.BooleanType())])
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns token, a, b, m, n, p, sig: in how many coordinates the signatures agree, and whether the sizes allow a link."""
+    """Columns a, b, m, n, p, sig: the pairs whose sizes allow a link and whose signatures agree often enough."""
     for batch in batches:
         if batch.num_rows:
-            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, COORDS) for k in (5, 6))
-            m, n = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            close = 100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array((p == q).sum(axis=1)), pa.array(close)], names=_COMPARED.names)
+            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, COORDS) for k in (4, 5))
+            m, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            good = (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)) & ((p == q).sum(axis=1) >= MATCHES)
+            yield from _pair_batch([batch.column(0).to_numpy()[good]], [batch.column(1).to_numpy()[good]])
 
 
 _LINKS = T.StructType([*_PAIRS.fields, T.StructField("shared", T.LongType())])
@@ -306,28 +306,49 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=_SETS.names)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table only if it has few rows; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+_SHINGLES = T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingle", T.LongType())])
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns cls, found: a row for each shingle of the sets."""
+    for part in slices(batches, rows=1024, size=1 << 20):
+        sets = [np.frombuffer(f, np.int64) for f in part.column(1).to_pylist()]
+        cls = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets))], names=_SHINGLES.names)
 
 
 def _by_list(rows: DataFrame, key: str, work: Callable, shape: T.StructType) -> DataFrame:
     return rows.repartition(F.col(key)).sortWithinPartitions(key, "cls").mapInArrow(work, shape)
 
 
+def _prefixes(rows: DataFrame, key: str, least: Column, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row (cls, weight, key) for each list to merge. ``rows``: cls, key and per class ``extra``; ``least``: in
+    how many lists two classes must meet. Lists of one member are no lists; of a class's others, by length, all
+    but the ``least - 1`` longest are merged. ``weight``: the lengths of the class's lists, summed up."""
+    sizes = cut(rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = rows.join(sizes, key).groupBy("cls", *extra)
+    own = shared.agg(F.array_sort(F.collect_list(F.struct("size", key))).alias("own"), F.sum("size").alias("weight")).where(F.size("own") >= least)
+    merged = F.expr("slice(own, 1, cast(size(own) - needed + 1 as int))")
+    rows = own.withColumn("needed", least).withColumn("own", merged).select("cls", *extra, "weight", F.explode("own").alias("one"))
+    return cut(rows.select("cls", *extra, "weight", F.col(f"one.{key}").alias(key)), "prefixes")
+
+
 class Join:
     """The steps of the join over one table of documents."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = columns(docs, doc_id=T.LongType(), text=T.StringType())
+        self.docs = columns(docs, doc_id=T.LongType(), text=T.StringType()).withColumn("unit", unit_key(F.col("text")))
         self.signed = cut(self.docs.mapInArrow(_sign, _SIGNED), "signed")
         some = self.signed.where("cls is not null").groupBy("cls")
-        self.classes = cut(some.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("posts").alias("posts")), "classes")
+        # of the rows of a class the first one by doc_id stands for all; rows of one doc_id are told apart by their texts
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit"))
+        classes = some.agg(first.alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("posts").alias("posts"))
+        self.classes = cut(classes, "classes")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cls, found): the full sets of the classes in column cls of ``wanted``; a written table."""
-        ends = cut(self.classes.select("cls", "rep").join(wanted.select("cls").distinct(), "cls"), "wanted")
-        texts = self.docs.join(_small(ends), self.docs["doc_id"].eqNullSafe(ends["rep"])).select("cls", "text")
+        ends = cut(self.classes.select("cls", F.col("rep.doc_id").alias("rep"), F.col("rep.unit").alias("whose")).join(wanted.select("cls").distinct(), "cls"), "wanted")
+        texts = self.docs.join(small(ends), self.docs["doc_id"].eqNullSafe(ends["rep"]) & (self.docs["unit"] == ends["whose"])).select("cls", "text")
         return cut(texts.mapInArrow(_full_sets, _SETS).dropDuplicates(["cls"]), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -338,57 +359,55 @@ class Join:
         full = left.join(sets.select(F.col("cls").alias("b"), F.col("found").alias("q")), "b")
         return cut(full.select("a", "b", "p", "q").mapInArrow(_confirm, _LINKS), "links")
 
-    def first_round(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(posts of lists with several members: token, cls; long lists: token, alike; candidate pairs)."""
-        posts = self.classes.select("cls", F.explode("posts").alias("token"))
-        sizes = cut(posts.groupBy("token").agg(F.count("*").alias("size"), F.min("cls").alias("first")).where("size > 1"), "lists")
-        members = cut(posts.join(sizes, "token").select("token", "size", "first", "cls"), "members")
-        with_sig = members.join(self.classes.select("cls", "n", "sig"), "cls")
-        short = _by_list(with_sig.where(F.col("size") <= LONG_LIST).select("token", "cls", "n", "sig"), "token", _forest, _PAIRS)
-        long = with_sig.where((F.col("size") > LONG_LIST) & (F.col("cls") != F.col("first")))
-        head = self.classes.select(F.col("cls").alias("first"), F.col("n").alias("m"), F.col("sig").alias("p"))
-        stars = cut(long.join(head, "first").select("token", F.col("first").alias("a"), F.col("cls").alias("b"), "m", "n", "p", "sig").mapInArrow(_compare, _COMPARED), "stars")
-        alike = stars.groupBy("token").agg(F.avg("matches").alias("alike"))
-        return members.select("token", "cls"), alike, short.unionByName(stars.where(F.col("close") & (F.col("matches") >= MATCHES)).select("a", "b"))
-
-    def second_round(self, members: DataFrame, alike: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """(candidate pairs, links) that could still join two components; None if no list has several.
-
-        Long lists whose members are unlike their first one share just some passage: they are split by a
-        further coordinate. Long lists of similar sets are compared in blocks, on the full sets.
-        """
-        named = members.join(comps.withColumnRenamed("id", "cls"), "cls", "left")
-        named = named.select("token", "cls", F.coalesce("component", "cls").alias("comp"))
-        pairs = links = None
-        for level in range(1, LEVELS + 1):
-            named = cut(named, "named")
-            lists = named.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("cls", "comp")).alias("head"))
-            lists = lists.where("low != high").select("token", "size", F.col("head.comp").alias("main"))
-            lists = cut(lists.join(alike, "token", "left") if level == 1 else lists.withColumn("alike", F.lit(None).cast("double")), "mixed")
-            if not lists.take(1):
-                break
-            mixed = cut(named.join(lists, "token"), "mixed-rows")
-            short = mixed.where(F.col("size") <= LONG_LIST).join(self.classes.select("cls", "n", "sig"), "cls")
-            found = _by_list(short.select("token", "cls", "n", "sig", "comp"), "token", _across, _PAIRS)
-            pairs = found if pairs is None else pairs.unionByName(found)
-            long = mixed.where(F.col("size") > LONG_LIST)
-            whole = long if level == LEVELS else long.where(F.col("alike") >= ALIKE)
-            if whole.take(1):
-                block_links = self._in_blocks(whole)
-                links = block_links if links is None else links.unionByName(block_links)
-            if level == LEVELS:
-                break
-            unlike = long.where(F.coalesce("alike", F.lit(0.0)) < ALIKE).select("token", "cls", "comp")
-            if not unlike.take(1):
-                break
-            further = unlike.join(self.classes.select("cls", "posts"), "cls").select("token", "cls", "comp", F.explode("posts").alias("other")).where("token != other")
-            both = F.xxhash64(F.least("token", "other"), F.greatest("token", "other"))
-            named = further.select(both.alias("token"), "cls", "comp").distinct()
-        return None if pairs is None else (pairs, links)
+    def merged_lists(self) -> DataFrame:
+        """token, size, head, cls: the members of the lists to merge; a written table."""
+        rows = _prefixes(self.classes.select("cls", F.explode("posts").alias("token")), "token", F.lit(MATCHES))
+        lists = cut(rows.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("weight", "cls")).alias("head")).where("size > 1"), "lists")
+        return cut(rows.join(lists, "token").select("token", "size", F.col("head.cls").alias("head"), "cls"), "members")
+
+    def stars(self, members: DataFrame) -> DataFrame:
+        """Candidate pairs of heads with members; columns head, cls."""
+        rows = members.where(F.col("cls") != F.col("head")).select("head", "cls").distinct().join(self.classes.select("cls", "n", "sig"), "cls")
+        head = self.classes.select(F.col("cls").alias("head"), F.col("n").alias("m"), F.col("sig").alias("p"))
+        return rows.join(head, "head").select(F.col("head").alias("a"), F.col("cls").alias("b"), "m", "n", "p", "sig").mapInArrow(_compare, _PAIRS)
+
+    def first_round(self, members: DataFrame) -> DataFrame:
+        """Candidate pairs: spanning forests of short lists, stars of long ones."""
+        short = members.where(F.col("size") <= LONG_LIST).join(self.classes.select("cls", "n", "sig"), "cls")
+        forests = _by_list(short.select("token", "cls", "n", "sig"), "token", _forest, _PAIRS)
+        return forests.unionByName(self.stars(members.where(F.col("size") > LONG_LIST)))
+
+    def mixed(self, members: DataFrame, comps: DataFrame) -> DataFrame:
+        """The members, with comp, of the lists that have several components; a written table."""
+        named = members.join(comps.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        named = cut(named, "named")
+        lists = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
+        return cut(named.join(lists, "token"), "mixed")
+
+    def across(self, rows: DataFrame) -> DataFrame:
+        """Candidate pairs across components in short lists."""
+        with_sig = rows.join(self.classes.select("cls", "n", "sig"), "cls")
+        return _by_list(with_sig.select("token", "cls", "n", "sig", "comp"), "token", _across, _PAIRS)
+
+    def rare_lists(self, rows: DataFrame) -> DataFrame:
+        """token, size, head, cls: the classes in column cls, listed under the rarest quarter of their sets."""
+        sets = self.sets(rows)
+        every = sets.mapInArrow(_shingle_rows, _SHINGLES).join(sets.select("cls", (F.length("found") / 8).cast("long").alias("n")), "cls")
+        # of two sets linked, the union holds the larger one: they share PERCENT of its size or more
+        rows = _prefixes(every.withColumnRenamed("shingle", "token"), "token", F.expr(f"({PERCENT} * n + 99) div 100"), ("n",))
+        lists = cut(rows.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("weight", "cls")).alias("head")).where("size > 1"), "rare-lists")
+        return cut(rows.join(lists, "token").select("token", "size", F.col("head.cls").alias("head"), "cls"), "rare-members")
 
     def _in_blocks(self, rows: DataFrame) -> DataFrame:
-        outside = rows.where("comp != main").groupBy("token").agg(F.count("*").alias("out"))
-        rows = rows.join(cut(outside, "outside"), "token").withColumn("outside", (F.col("comp") != F.col("main")).cast("int"))
+        """Links, on full sets, of the members of lists outside their head's component with any member.
+
+        The exact way for what is left: each member is sent once for every ``SHARE`` outside members of its list.
+        """
+        main = F.max(F.when(F.col("cls") == F.col("head"), F.col("comp"))).alias("main")
+        lists = cut(rows.groupBy("token").agg(main), "mains")
+        rows = rows.join(lists, "token").withColumn("outside", (F.col("comp") != F.col("main")).cast("int"))
+        rows = cut(rows, "block-members")
+        rows = rows.join(cut(rows.where("outside = 1").groupBy("token").agg(F.count("*").alias("out")), "outside"), "token")
         rows = rows.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("shares", F.ceil(F.col("out") / SHARE).cast("int"))
         rows = cut(rows.select("token", "cls", "comp", "outside", "chunks", "shares"), "block-rows")
         chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
@@ -402,46 +421,78 @@ class Join:
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(confirmed links that connect every component, components of classes with a link)."""
-        members, alike, pairs = self.first_round()
-        links = self.confirmed(pairs)
+        members = self.merged_lists()
+        links = self.confirmed(self.first_round(members))
         comps = cut(components(links), "components")
-        more = self.second_round(members, alike, comps)
-        if more is not None:
-            pairs, found = more
-            extra = self.confirmed(pairs.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"))
-            extra = extra if found is None else extra.unionByName(found)
-            if extra.take(1):
-                links = links.unionByName(extra)
-                comps = cut(components(links), "components")
+
+        def add(more: DataFrame) -> bool:
+            nonlocal links, comps
+            if not more.take(1):
+                return False
+            links = links.unionByName(more)
+            comps = cut(components(links), "components")
+            return True
+
+        rows = self.mixed(members, comps)
+        long = rows.where(F.col("size") > LONG_LIST)
+        pairs = self.across(rows.where(F.col("size") <= LONG_LIST))
+        if not long.take(1):
+            add(self.confirmed(pairs))
+            return links, comps
+        rare = self.mixed(self.rare_lists(long), comps)
+        pairs = pairs.unionByName(self.across(rare.where(F.col("size") <= LONG_LIST)))
+        pairs = pairs.unionByName(self.stars(rare.where(F.col("size") > LONG_LIST)))
+        add(self.confirmed(pairs.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")))
+        left = self.mixed(rare.where(F.col("size") > LONG_LIST).drop("comp"), comps)
+        if left.take(1):
+            add(self._in_blocks(left))
         return links, comps
 
 
+def unit_key(text: Column) -> Column:
+    """With the doc_id: which document it is."""
+    return F.xxhash64(text)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, unit, n, cls, and ``top``, the first row (none, doc_id, unit) of its component; null for
+    rows without words."""
+    join = Join(docs)
+    _, comps = join.links()
+    named = join.classes.select("cls", "rep").join(comps.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+    named = cut(named, "named-classes")
+    least = named.groupBy("component").agg(F.min("rep").alias("top"))
+    by_class = cut(named.join(cut(least, "least-ids"), "component").select("cls", "top"), "class-ids")
+    return join.signed.select("doc_id", "unit", "n", "cls").join(by_class, "cls", "left")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the smallest doc_id that links reach, the document itself included; documents without
     words (null, empty, only white space) reach themselves alone. Exact copies are one class and stand in the
-    join once. Rows with a null doc_id count, and take the smallest id of their component, or null. Repeated
-    rows each get a row. Extra columns are ignored. An empty table gives no rows.
+    join once. Rows with a null doc_id count, and take the smallest id of their component, or null. Rows of one
+    doc_id with different texts are documents of their own. Repeated rows each get a row. Extra columns are
+    ignored. An empty table gives no rows.
     """
-    join = Join(docs)
-    _, comps = join.links()
-    named = join.classes.select("cls", "rep").join(comps.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
-    named = cut(named, "named-classes")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = cut(named.join(cut(least, "least-ids"), "component").select("cls", "component_id"), "class-ids")
-    rows = join.signed.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))
+    rows = _named(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the first of their component; repeated rows once."""
-    kept = cut(near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__times")), "kept")
-    name = next(c for c in docs.columns if c.lower() == "doc_id")
-    key = F.col(f"`{name}`").cast("long").eqNullSafe(F.col("__kept"))
-    rows = docs.join(_small(kept), key, "left_semi")
-    if not kept.where(F.col("__times") > 1).take(1):
-        return rows
-    text = next(c for c in docs.columns if c.lower() == "text")
-    return rows.dropDuplicates([name, text])
+    """The rows of ``docs``, all columns, that are the first of their component, by doc_id (null last); a repeated
+    row once. Rows without words, a missing column text included, are linked with nothing and all stay."""
+    named = _named(docs).where("cls is not null")
+    mine = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("unit") == F.col("top.unit"))
+    kept = named.where(mine).groupBy(F.col("doc_id").alias("__id"), F.col("unit").alias("__unit")).agg(F.count("*").alias("__times"))
+    kept = cut(kept, "kept")
+    own = {c.lower(): c for c in docs.columns}
+    key, text = (F.col(f"`{own[c]}`").cast(t) if c in own else F.lit(None).cast(t) for c, t in (("doc_id", "long"), ("text", "string")))
+    rows = docs.join(small(kept), key.eqNullSafe(F.col("__id")) & (unit_key(text) == F.col("__unit")), "left")
+    rows = rows.where(F.col("__times").isNotNull() | ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    once = rows.where(F.coalesce("__times", F.lit(1)) == 1)
+    if kept.where(F.col("__times") > 1).take(1):
+        several = rows.where(F.col("__times") > 1).dropDuplicates(["__id", "__unit"])
+        once = once.unionByName(several)
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
