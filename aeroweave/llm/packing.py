@@ -52,9 +52,10 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or tokens.tokenizer_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, place = tokens.encoder(path), TaskContext.get().partitionId(), 0
-        wide = encoder.dtype.itemsize
-        for piece in slices(batches, rows=512, size=1 << 20):
+        part, place = TaskContext.get().partitionId(), 0
+        for piece in slices(batches, rows=512, size=1 << 20, operator=tokens.OPERATOR):
+            encoder = tokens.encoder(path)
+            wide = encoder.dtype.itemsize
             values = encoder.encode(piece.column(1).to_pylist())
             n = np.array([len(v) // wide for v in values], np.int64)
             places = place + np.cumsum(n) - n

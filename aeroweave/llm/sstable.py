@@ -252,10 +252,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     path = tokenizer or tokens.tokenizer_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(path)
         stream = writer = system = None
         first = None
-        for part in slices(batches, rows=512, size=4 << 20):
+        for part in slices(batches, rows=512, size=1 << 20, operator=tokens.OPERATOR):
+            encoder = tokens.encoder(path)
             ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             if writer is None:
                 target = f"{folder}/{uuid.uuid4().hex}.sst"

@@ -15,9 +15,12 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import operator_caches
+
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 300_000
+OPERATOR = "tokens"
 LONG_CHUNK = 64
 
 #: A run of Latin letters before an ASCII character or the end; else a run without white space; white space
@@ -27,6 +30,7 @@ _CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\x00-\x7f]|\Z)| ?\S+|\s+(?!
 _ODD = re.compile(r"[\x1c-\x1f]")
 
 _loaded: dict[str, "ChunkEncoder"] = {}
+operator_caches[OPERATOR] = _loaded.clear
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -111,7 +115,7 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One per Python worker, kept from task to task."""
+    """One per Python worker, kept from task to task of an operator that encodes."""
     if path not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _loaded[path] = ChunkEncoder(path)
