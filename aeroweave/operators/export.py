@@ -87,3 +87,17 @@ def write_report(df: DataFrame, path: str) -> None:
 def as_json(df: DataFrame, rows: int = 1000) -> str:
     """At most ``rows`` rows as indented JSON text."""
     return json.dumps([r.asDict(recursive=True) for r in df.limit(rows).collect()], indent=2, ensure_ascii=False, default=str)
+
+
+def top_types(events: DataFrame, top: int = 10) -> DataFrame:
+    """type, events: the most frequent types of events."""
+    return events.groupBy("type").agg(F.count("*").alias("events")).orderBy(F.col("events").desc(), "type").limit(top)
+
+
+def time_histogram(events: DataFrame, bins: int = 29) -> DataFrame:
+    """severity, bin (from 0), from_sec, events: events in equal stretches of the time they cover; the last
+    stretch holds its end."""
+    span = events.agg(F.min("time_sec").alias("t0"), F.max("time_sec").alias("t1"))
+    width = (F.col("t1") - F.col("t0")) / bins
+    rows = events.crossJoin(F.broadcast(span)).withColumn("bin", F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("time_sec") - F.col("t0"), width)), F.lit(0))).cast("int"))  # one row
+    return rows.groupBy("severity", "bin").agg(F.first(F.col("t0") + F.col("bin") * width).alias("from_sec"), F.count("*").alias("events"))

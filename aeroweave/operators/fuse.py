@@ -52,6 +52,9 @@ def wls_fused(obs: DataFrame, key: str, bin_s: float = 1.0) -> DataFrame:
     return fused.select("system_track_id", "time_sec", "e", "n", "u", F.sqrt(F.expr("ve * ve + vn * vn")).alias("speed"), heading_of(F.col("ve"), F.col("vn")).alias("heading"), F.array_join("s", ",").alias("sources"), F.size("s").alias("source_count"))
 
 
+STRETCH_S = 300
+
+
 def nearest_fused(obs: DataFrame, fused: DataFrame, members: DataFrame | None = None, tolerance_s: float = 3.0, first: int = 20, sample: int | None = 100) -> DataFrame:
     """source, de, dn: errors of reports against the nearest point of fused tracks within the tolerance.
 
@@ -64,7 +67,9 @@ def nearest_fused(obs: DataFrame, fused: DataFrame, members: DataFrame | None =
     rows = obs.where("source != 'spectrum' and e is not null and n is not null").select("source", "target_id", "time_sec", "e", "n", "obs_id")
     around = (F.col("time_sec") >= F.col("t0") - 5) & (F.col("time_sec") <= F.col("t1") + 5)
     if members is None:
-        asked = rows.join(tracks, around)
+        # a track is met in the stretches of time it covers, not held against every report
+        spans = tracks.withColumn("stretch", F.explode(F.sequence(*[F.floor((F.col(c) + d) / STRETCH_S) for c, d in (("t0", -5), ("t1", 5))])))
+        asked = rows.withColumn("stretch", F.floor(F.col("time_sec") / STRETCH_S)).join(spans, "stretch").where(around).drop("stretch")
     else:
         asked = rows.join(members, ["source", "target_id"]).join(tracks, "system_track_id").where(around)
     w = Window.partitionBy("system_track_id", "source", "target_id")

@@ -78,8 +78,8 @@ class Model:
         jacobian[3:5, 3:5] = [[c, -s], [s, c]]
         # derivatives by the turn rate
         ds, dc = (w * dt * c - s) / w**2, (w * dt * s - (1 - c)) / w**2
-        jacobian[0, 6] = ve * ds + vn * dc
-        jacobian[1, 6] = ve * dc - vn * ds
+        jacobian[0, 6] = ve * ds - vn * dc
+        jacobian[1, 6] = ve * dc + vn * ds
         jacobian[3:5, 6] = dt * np.array([-ve * s - vn * c, ve * c - vn * s])
         return jacobian
 

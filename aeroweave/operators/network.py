@@ -85,7 +85,8 @@ def betweenness(edge_rows: DataFrame, sources: int | None = 200, tie: float = 1e
             for start in batch["node"]:
                 for node, share in _dependencies(out, start, tie).items():
                     score[node] = score.get(node, 0.0) + share
-        yield pd.DataFrame({"node": list(score), "share": list(score.values())})
+        if score:  # a task may have no source
+            yield pd.DataFrame({"node": list(score), "share": list(score.values())})
 
     shape = T.StructType([T.StructField("node", T.StringType()), T.StructField("share", T.DoubleType())])
     summed = chosen.repartition(spark.sparkContext.defaultParallelism).mapInPandas(searches, shape).groupBy("node").agg(F.sum("share").alias("share"))
@@ -199,3 +200,23 @@ def community_capacity(room: DataFrame, community_rows: DataFrame) -> DataFrame:
     summed = room.join(community_rows, "node").groupBy("community").agg(F.count("*").alias("n_nodes"), F.sum("capacity").alias("total"), F.sum("traffic").alias("current_load"), F.max("windows").alias("windows"))
     use = F.col("current_load") / (F.col("total") * F.col("windows"))
     return summed.select("community", "n_nodes", F.round("total", 1).alias("total_capacity"), "current_load", F.round(use, 4).alias("utilization"), (use > 0.8).alias("is_saturated"))
+
+
+def most_congested(index_rows: DataFrame, top: int = 20) -> DataFrame:
+    return index_rows.orderBy(F.col("congestion_index").desc(), "node").limit(top)
+
+
+def congestion_bands(index_rows: DataFrame) -> DataFrame:
+    """band, nodes: how many nodes are congested, busy (index over 0.5) or normal."""
+    band = F.when(F.col("is_congested"), "congested").when(F.col("congestion_index") > 0.5, "busy").otherwise("normal")
+    return index_rows.groupBy(band.alias("band")).agg(F.count("*").alias("nodes"))
+
+
+def report(room: DataFrame, community_rows: DataFrame) -> DataFrame:
+    """One row: the global congestion index, congested nodes and their share, communities and saturated ones."""
+    index = F.col("traffic") / (F.col("capacity") * F.col("windows"))
+    used = F.count_if(F.col("traffic") > 0)
+    total = F.sum("traffic") / (F.sum("capacity") * F.max("windows"))
+    nodes = room.agg(F.round(total, 4).alias("global_congestion_index"), F.count_if(index > 1).alias("n_congested_nodes"), F.round(F.count_if(index > 1) / F.greatest(used, F.lit(1)), 4).alias("congested_node_ratio"))
+    groups = community_capacity(room, community_rows).agg(F.count("*").alias("n_communities"), F.count_if("is_saturated").alias("n_saturated_communities"))
+    return nodes.crossJoin(groups)  # one row each

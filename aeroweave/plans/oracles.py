@@ -198,7 +198,7 @@ corr as (select cell_count, total_points, center_e, center_n, round(""" + HEADIN
 
 POG = """,
 t0 as (select min(time_sec) as t0 from located where source = 'spectrum'),
-heard as (select target_id, cast(floor((time_sec - t0) / 60) as bigint) as win, list_sort(list(distinct sensor_id)) as sensors from located, t0 where source = 'spectrum' group by all),
+heard as (select target_id, cast(floor((time_sec - t0) / 5) as bigint) as win, list_sort(list(distinct sensor_id)) as sensors from located, t0 where source = 'spectrum' group by all),
 sets as (select sensors, count(*) as events, len(sensors) as k from heard group by all),
 sited as (select *, list_avg(list_transform(sensors, lambda s: (s - 2) * 1500)) as ce, list_avg(list_transform(sensors, lambda s: (s * 2 % 5 - 2) * 1500)) as cn, greatest(500.0::double, 5000 / (0.5::double * k)) as spr from sets),
 homed as (select *, greatest(0, least(79, cast(trunc((ce + 8000) / 200) as integer))) as ci, greatest(0, least(79, cast(trunc((cn + 8000) / 200) as integer))) as cj, case when k = 1 then 25 else cast(trunc(3 * spr / 200) as integer) end as rch from sited),
@@ -210,7 +210,7 @@ grid as (select cast(row as integer) as row, cast(col as integer) as col, least(
 ALARMS = """,
 sw as (select *, cast(floor(time_sec / 10) as bigint) as win, time_sec - lag(time_sec) over (partition by target_id, floor(time_sec / 10) order by time_sec, obs_id) as step from located where source = 'spectrum'),
 sg as (select target_id, win, count(*) as rows, count(distinct sensor_id) as sensors, avg(frequency) as freq, avg(time_sec) as tc, stddev_pop(step) as sd, avg(step) as ms, avg(e) as se, avg(n) as sn from sw group by all),
-few as (select distinct system_track_id from fused order by 1 limit 50),
+few as (select distinct system_track_id from fused),
 nearby as (select g.target_id, g.win, f.system_track_id, avg(f.e) as me, avg(f.n) as mn, any_value(se) as se, any_value(sn) as sn from sg g join fused f on abs(f.time_sec - g.tc) <= 10 join few using (system_track_id) where g.sensors >= 2 group by all),
 backed as (select distinct target_id, win, true as ok from nearby where sqrt(pow(me - se, 2) + pow(mn - sn, 2)) < 4000),
 judged as (select g.*, case when sensors = 1 and rows <= 2 then 'single_station_isolated' when freq > 0 and not (""" + " or ".join(f"freq between {a} and {b}" for a, b in UAV_BANDS_MHZ) + """) then 'frequency_out_of_band'
@@ -262,11 +262,11 @@ room as (select n.node, traffic, greatest(1.0::double, least(50.0::double, 0.6::
 
 def _labels(rounds: int) -> str:
     """Synchronous votes, written out round by round; a settled labelling repeats itself."""
-    sql = ",\nsym as (select a, b, sum(weight) as weight from both_ways group by all),\nl0 as (select distinct a as id, a as label from both_ways)"
+    sql = ",\nsym as (select a, b, sum(weight) as weight from both_ways group by all),\nl0 as materialized (select distinct a as id, a as label from both_ways)"
     for k in range(rounds):
         sql += f""",
-v{k + 1} as (select id, label, sum(weight) as weight from (select s.a as id, l.label, s.weight from sym s join l{k} l on l.id = s.b union all select id, label, 1 from l{k}) group by all),
-l{k + 1} as (select id, label from (select *, row_number() over (partition by id order by weight desc, label) as r from v{k + 1}) where r = 1)"""
+v{k + 1} as materialized (select id, label, sum(weight) as weight from (select s.a as id, l.label, s.weight from sym s join l{k} l on l.id = s.b union all select id, label, 1 from l{k}) group by all),
+l{k + 1} as materialized (select id, label from (select *, row_number() over (partition by id order by weight desc, label) as r from v{k + 1}) where r = 1)"""
     return sql
 
 
@@ -278,7 +278,7 @@ asked as (select p.system_track_id, c.source, c.target_id, c.obs_id, c.time_sec,
 closest as (select a.source, a.e - f.e as de, a.n - f.n as dn, row_number() over (partition by a.system_track_id, a.obs_id order by abs(a.time_sec - f.time_sec), f.time_sec) as r from asked a join fused f on f.system_track_id = a.system_track_id and abs(a.time_sec - f.time_sec) <= 3 where a.m >= 3 and a.k <= 20),
 rmse as (select source, sqrt(avg(de * de)) as rmse_e, sqrt(avg(dn * dn)) as rmse_n, sqrt(avg(de * de + dn * dn)) as rmse_total, count(*) as samples from closest where r = 1 group by source having count(*) >= 10)"""
 _PREDICTION = """,
-three as (select *, lag(time_sec) over w as tp, lag(e) over w as ep, lag(n) over w as np, lead(time_sec) over w as tn, lead(e) over w as en, lead(n) over w as nn from fused where system_track_id in (select distinct system_track_id from fused order by 1 limit 100) window w as (partition by system_track_id order by time_sec)),
+three as (select *, lag(time_sec) over w as tp, lag(e) over w as ep, lag(n) over w as np, lead(time_sec) over w as tn, lead(e) over w as en, lead(n) over w as nn from fused window w as (partition by system_track_id order by time_sec)),
 missed as (select sqrt(pow(e + (e - ep) / (time_sec - tp) * (tn - time_sec) - en, 2) + pow(n + (n - np) / (time_sec - tp) * (tn - time_sec) - nn, 2)) as miss from three where time_sec - tp >= 0.01 and tn - time_sec >= 0.01),
 prediction as (select sqrt(avg(miss * miss)) as fused_rmse, count(miss) as samples from missed)"""
 
@@ -305,7 +305,7 @@ select event_id, case event_id % 5 when 0 then printf('%02d:%02d:%02d.5', h, m,
         "outlier_rejection": BASE + " select obs_id, source, target_id, bad_position, bad_altitude from flagged where bad_position or bad_altitude",
         "data_gaps": BASE + " select obs_id, source, target_id, round(gap, 4) as gap_s from (select *, time_sec - lag(time_sec) over (partition by source, target_id order by time_sec, obs_id) as gap from located) where gap > 120",
         "resample_linear": BASE + """,
-pts as (select source, target_id, time_sec, avg(e) as e, avg(n) as n, avg(u) as u from clean where source = 'adsb' group by all having avg(e) is not null and avg(n) is not null and avg(u) is not null),
+pts as (select source, target_id, time_sec, avg(e) as e, avg(n) as n, avg(u) as u from clean where source <> 'spectrum' group by all having avg(e) is not null and avg(n) is not null and avg(u) is not null),
 sp as (select source, target_id, floor(min(time_sec)) as t0, ceil(max(time_sec)) as t1, count(*) as m from pts group by all having count(*) >= 2),
 tl as (select source, target_id, cast(t0 + 60 * unnest(range(0, cast(floor((t1 - t0) / 60) as bigint) + 1)) as double) as t from sp),
 num as (select *, row_number() over (partition by source, target_id order by time_sec) as i, count(*) over (partition by source, target_id) as m from pts),
@@ -323,10 +323,10 @@ from pick p join num a on a.source = p.source and a.target_id = p.target_id and
 from (select target_id, obs_id as frame, obs_id % 3 <> 0 as matched, sum(cast(obs_id % 3 <> 0 as integer)) over w as hits, count(*) over w as seen from located where source <> 'spectrum' window w as (partition by target_id order by obs_id rows between 2 preceding and current row))""",
         "track_groups": BASE + SUMMARY + MATCHED + BEST + GROUPS + " select printf('ST%04d', k) as system_track_id, source, target_id from grouped join numbered using (g)",
         "wls_fused_tracks": BASE + FUSED + f" select system_track_id, sources, source_count, {_rounds('time_sec e n u speed heading')} from fused",
-        "rmse_per_source": BASE + FUSED + _RMSE.format(limit=" limit 100", members="") + f" select source, samples, {_rounds('rmse_e rmse_n rmse_total')} from rmse",
-        "rmse_per_source_members": BASE + FUSED + _RMSE.format(limit=" limit 100", members=" and 'ST' || lpad(cast(c.user_id as varchar), 4, '0') = p.system_track_id") + f" select source, samples, {_rounds('rmse_e rmse_n rmse_total')} from rmse",
+        "rmse_per_source": BASE + FUSED + _RMSE.format(limit="", members="") + f" select source, samples, {_rounds('rmse_e rmse_n rmse_total')} from rmse",
+        "rmse_per_source_members": BASE + FUSED + _RMSE.format(limit="", members=" and 'ST' || lpad(cast(c.user_id as varchar), 4, '0') = p.system_track_id") + f" select source, samples, {_rounds('rmse_e rmse_n rmse_total')} from rmse",
         "fused_prediction_rmse": BASE + FUSED + _PREDICTION + " select round(fused_rmse, 3) as fused_rmse, samples from prediction",
-        "rmse_improvement": BASE + FUSED + _RMSE.format(limit=" limit 100", members="") + _PREDICTION + " select source, round(greatest(0, (rmse_total - fused_rmse) / rmse_total * 100), 1) as improvement_pct from rmse, prediction",
+        "rmse_improvement": BASE + FUSED + _RMSE.format(limit="", members="") + _PREDICTION + " select source, round(greatest(0, (rmse_total - fused_rmse) / rmse_total * 100), 1) as improvement_pct from rmse, prediction",
         "fused_smoothness": BASE + FUSED + """,
 m as (select *, coalesce(speed, 0) * sin(radians(coalesce(heading, 0))) as ve, coalesce(speed, 0) * cos(radians(coalesce(heading, 0))) as vn, greatest(0.01::double, time_sec - lag(time_sec) over w) as dt, count(*) over (partition by system_track_id) as c from fused window w as (partition by system_track_id order by time_sec)),
 a as (select *, (ve - lag(ve) over w) / dt as ae, (vn - lag(vn) over w) / dt as an from m where c >= 4 window w as (partition by system_track_id order by time_sec)),
@@ -355,12 +355,12 @@ select system_track_id, round(avg(coalesce(probability, 0.5)), 4) as overlap, co
         "false_alarm_filter": BASE + FUSED + ALARMS + ' select target_id, win as "window", rows, sensors, reason from judged where reason is not null',
         "ds_detection_mass": BASE + f""",
 w as (select obs_id, {case('source', RELIABILITY, 0.6)} * greatest(0.1::double, least(1.0::double, coalesce(speed / 50, 0.05))) as w from located)
-select obs_id, round(case when obs_id % 4 <> 0 then 0.85::double * w else 0.1::double * w end, 4) as m_r, round(case when obs_id % 4 <> 0 then 0.05::double * (1 - w) else 0.6::double * w end, 4) as m_f,
-  round(1 - case when obs_id % 4 <> 0 then 0.85::double * w else 0.1::double * w end - case when obs_id % 4 <> 0 then 0.05::double * (1 - w) else 0.6::double * w end, 4) as m_t from w""",
-        "ds_position_mass": BASE + FUSED + ERRORS + " select system_track_id, source, round(r, 4) as m_r, round(f, 4) as m_f, round(t, 4) as m_t from pm",
+select obs_id, round_even((case when obs_id % 4 <> 0 then 0.85::double * w else 0.1::double * w end) * 1e4::double, 0) / 1e4::double as m_r, round_even((case when obs_id % 4 <> 0 then 0.05::double * (1 - w) else 0.6::double * w end) * 1e4::double, 0) / 1e4::double as m_f,
+  round_even((1 - case when obs_id % 4 <> 0 then 0.85::double * w else 0.1::double * w end - case when obs_id % 4 <> 0 then 0.05::double * (1 - w) else 0.6::double * w end) * 1e4::double, 0) / 1e4::double as m_t from w""",
+        "ds_position_mass": BASE + FUSED + ERRORS + " select system_track_id, source, round_even((r) * 1e4::double, 0) / 1e4::double as m_r, round_even((f) * 1e4::double, 0) / 1e4::double as m_f, round_even((t) * 1e4::double, 0) / 1e4::double as m_t from pm",
         "ds_coverage_mass": BASE + FUSED + """,
 s as (select system_track_id, max(source_count) / 3 as s from fused group by all)
-select system_track_id, round(0.9::double * s * 0.8::double, 4) as m_r, round(0.2::double * (1 - s), 4) as m_f, round(greatest(0.0::double, 1 - 0.9::double * s * 0.8::double - 0.2::double * (1 - s)), 4) as m_t from s""",
+select system_track_id, round_even((0.9::double * s * 0.8::double) * 1e4::double, 0) / 1e4::double as m_r, round_even((0.2::double * (1 - s)) * 1e4::double, 0) / 1e4::double as m_f, round_even((greatest(0.0::double, 1 - 0.9::double * s * 0.8::double - 0.2::double * (1 - s))) * 1e4::double, 0) / 1e4::double as m_t from s""",
         "ds_credibility": BASE + FUSED + CREDIBILITY + " select round(r, 4) as credibility, round(f, 4) as false_prob, round(t, 4) as uncertainty, round(k, 4) as conflict_k, strategy, case when r > 0.65 then 'confirmed_real' when f > 0.5 then 'suspected_false' when k > 0.65 then 'high_conflict' else 'uncertain' end as decision, system_track_id, cast(n // 2 as integer) as n_sources from final",
         "net_edges": BASE + NET + " select src, dst, weight from edges",
         "net_nodes": BASE + NET + " select node, gi, gj, traffic, tracks_passing from nodes",
@@ -376,7 +376,7 @@ select n as nodes, e as edges, round(2 * e / n, 6) as avg_degree, round(e / (n *
         "congestion": BASE + NET + ROOM + " select node, round(traffic / (capacity * windows), 4) as congestion_index, round(capacity, 1) as dynamic_capacity, traffic as traffic_count, traffic / (capacity * windows) > 1 as is_congested from room where traffic > 0",
         "weak_components": BASE + NET + CC + " select node, component from wcc",
         "vulnerability": BASE + NET + CC + """,
-cand as (select node as gone from degs order by strength desc, node limit 10),
+cand as (select node as gone from degs order by strength desc, node limit 30),
 cut_links as (select c.gone, u.a, u.b from cand c join und u on u.a <> c.gone and u.b <> c.gone),
 cut_flood(gone, id, other) as (select distinct gone, a, a from cut_links union select f.gone, f.id, l.b from cut_flood f join cut_links l on l.gone = f.gone and l.a = f.other),
 cut_cc as (select gone, id, min(other) as component from cut_flood group by all),
@@ -385,8 +385,8 @@ was as (select count(distinct component) as was, count(*) as n from wcc)
 select c.gone as node, coalesce(parts, 0) + (n - 1 - coalesce(linked, 0)) - was as components_increase, traffic as traffic_load,
   round(0.5::double * (coalesce(parts, 0) + (n - 1 - coalesce(linked, 0)) - was) + 0.5::double * traffic / (select sum(traffic) from nodes), 4) as vulnerability_score
 from cand c left join cut_n using (gone) join nodes on node = c.gone, was""",
-        "label_communities": BASE + NET + _labels(5) + " select id as node, label as community from l5",
-        "community_capacity": BASE + NET + ROOM + _labels(5) + " select label as community, count(*) as n_nodes, round(sum(capacity), 1) as total_capacity, sum(traffic)::bigint as current_load, round(sum(traffic) / (sum(capacity) * max(windows)), 4) as utilization, sum(traffic) / (sum(capacity) * max(windows)) > 0.8 as is_saturated from room join l5 on id = node group by label",
+        "label_communities": BASE + NET + _labels(50) + " select id as node, label as community from l50",
+        "community_capacity": BASE + NET + ROOM + _labels(50) + " select label as community, count(*) as n_nodes, round(sum(capacity), 1) as total_capacity, sum(traffic)::bigint as current_load, round(sum(traffic) / (sum(capacity) * max(windows)), 4) as utilization, sum(traffic) / (sum(capacity) * max(windows)) > 0.8 as is_saturated from room join l50 on id = node group by label",
         "target_list": BASE + EVENTS + CLASSES + f""",
 roll as (select system_track_id, min(time_sec) as s, max(time_sec) as x, count(*) as n_points, avg(e) as e, avg(n) as n, avg(u) as u, avg(speed) as sp, max(speed) as mx, array_to_string(list_sort(list_distinct(flatten(list(string_split(sources, ','))))), '|') as sources from fused group by all),
 an as (select track_id, count(*) as c, array_to_string(list_sort(list(distinct type)), '|') as types, max(case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end) as sev from events_kept group by all)
@@ -398,6 +398,23 @@ from roll r left join (select * from classes where source = 'fused') k on k.trac
 union all select 'anomaly_severity', severity, count(*) from events_kept group by all union all select 'conflict_level', level, count(*) from conflicts group by all""",
         "dashboard_summary": BASE + " select source, count(*) as reports, count(distinct target_id) as targets, round(max(time_sec) - min(time_sec), 2) as span_sec from located group by all",
         "sampled_tracks": BASE + " select source, target_id, cast(k as integer) as point, round(time_sec, 2) as time_sec, round(lat, 6) as lat, round(lon, 6) as lon from (select *, dense_rank() over (partition by source order by target_id) as r, row_number() over (partition by source, target_id order by time_sec, obs_id) as k from clean where lat is not null and lon is not null) where r <= 20 and k <= 30",
+        "top_anomaly_types": BASE + EVENTS + " select type, count(*) as events from events_kept group by type order by events desc, type limit 10",
+        "anomaly_histogram": BASE + EVENTS + """,
+sp as (select min(time_sec) as t0, max(time_sec) as t1, (max(time_sec) - min(time_sec)) / 29 as width from events_kept)
+select severity, bin, round(any_value(t0 + bin * width), 4) as from_sec, count(*) as events from (select severity, cast(least(28, coalesce(floor((time_sec - t0) / nullif(width, 0)), 0)) as integer) as bin, t0, width from events_kept, sp) group by severity, bin""",
+        "congestion_bands": BASE + NET + ROOM + """ select case when ci > 1 then 'congested' when round(ci, 4) > 0.5 then 'busy' else 'normal' end as band, count(*) as nodes from (select traffic / (capacity * windows) as ci from room where traffic > 0) group by band""",
+        "congested_nodes": BASE + NET + ROOM + " select node, round(traffic / (capacity * windows), 4) as congestion_index, round(capacity, 1) as dynamic_capacity, traffic as traffic_count, traffic / (capacity * windows) > 1 as is_congested from room where traffic > 0 order by congestion_index desc, node limit 20",
+        "network_report": BASE + NET + ROOM + _labels(50) + """,
+gr as (select sum(traffic) / (sum(capacity) * max(windows)) > 0.8 as full_up from room join l50 on id = node group by label)
+select round(sum(traffic) / (sum(capacity) * max(windows)), 4) as global_congestion_index, count(*) filter (traffic / (capacity * windows) > 1) as n_congested_nodes,
+  round(count(*) filter (traffic / (capacity * windows) > 1) / greatest(count(*) filter (traffic > 0), 1), 4) as congested_node_ratio, (select count(*) from gr) as n_communities, (select count(*) from gr where full_up) as n_saturated_communities from room""",
+        "mean_improvement": BASE + FUSED + _RMSE.format(limit="", members="") + _PREDICTION + " select round(avg(round(greatest(0, (rmse_total - fused_rmse) / rmse_total * 100), 1)), 2) as mean_improvement_pct from rmse, prediction",
+        "occupancy_report": BASE + FUSED + ALARMS + """ select (select count(*) from located where source = 'spectrum') as detections, coalesce(sum(rows), 0)::bigint as false_alarms,
+  round(coalesce(sum(rows), 0) / (select count(*) from located where source = 'spectrum'), 4) as false_alarm_rate from judged where reason is not null""",
+        "sensor_files": BASE + f""" select source, cast(source_rank as integer) as source_rank, target_id, case when source = 'spectrum' then uav_model_text end as uav_model_text, {_rounds('time_sec lat lon')},
+  round(case when source = 'spectrum' or (source = 'radar' and (heading is null or climb_rate is null)) then null else speed end, 4) as speed,
+  round(case when source = 'spectrum' or (source = 'radar' and (heading is null or speed is null)) then null else climb_rate end, 4) as climb_rate, round(case when source = 'spectrum' then frequency end, 4) as frequency
+  from located where time_sec is not null and (source = 'spectrum' or (lat is not null and lon is not null))""",
         "top_events": BASE + EVENTS + f" select {_EVENT} from (select * from events_kept order by time_sec, track_id, type limit 200)",
     }
     hav = f"2 * {R} * asin(sqrt(least(1.0::double, pow(sin(radians(z.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(z.lat)) * pow(sin(radians(z.lon - c.lon) / 2), 2))))"

@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from ..config import Conflict, Network, Occupancy, Zone
 from ..functions import geo, rules
 from ..operators import align, anomaly, associate, classify, conflict, evidence, export, flow, fuse, imm, network, pog
+from ..operators.graph import new_path
+from ..sources import readers
 from ..sources.events import observations
 from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FUSE_BIN_S = 5.0
-POG = Occupancy(window_s=60.0)
+POG = Occupancy()
 ZONES = (Zone("airfield", 114.0, 30.45, 1500.0, 0.0, 400.0), Zone("works", 114.012, 30.455, 800.0, 100.0, 1000.0))
 
 _QUERIES: dict[str, Query] = {}
@@ -114,7 +116,7 @@ def data_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def resample_linear(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(align.resample_linear(clean(spark, d).where("source = 'adsb'"), step_s=60.0), 3)
+    return rounded(align.resample_linear(clean(spark, d).where("source != 'spectrum'"), step_s=60.0), 3)
 
 
 @query
@@ -198,19 +200,19 @@ def imm_fused_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rmse_per_source(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(fuse.rmse_per_source(fuse.nearest_fused(clean(spark, d), fused(spark, d))))
+    return rounded(fuse.rmse_per_source(fuse.nearest_fused(clean(spark, d), fused(spark, d), sample=None)))
 
 
 @query
 def rmse_per_source_members(spark: SparkSession, d: str) -> DataFrame:
     obs = named(clean(spark, d))
     members = obs.where("source != 'spectrum'").select(F.col("system_id").alias("system_track_id"), "source", "target_id").distinct()
-    return rounded(fuse.rmse_per_source(fuse.nearest_fused(obs, fused(spark, d), members)))
+    return rounded(fuse.rmse_per_source(fuse.nearest_fused(obs, fused(spark, d), members, sample=None)))
 
 
 @query
 def fused_prediction_rmse(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(fuse.prediction_rmse(fused(spark, d)), 3)
+    return rounded(fuse.prediction_rmse(fused(spark, d), sample=None), 3)
 
 
 @query
@@ -221,7 +223,7 @@ def fused_smoothness(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rmse_improvement(spark: SparkSession, d: str) -> DataFrame:
     track_rows = fused(spark, d)
-    return fuse.improvement(fuse.rmse_per_source(fuse.nearest_fused(clean(spark, d), track_rows)), fuse.prediction_rmse(track_rows))
+    return fuse.improvement(fuse.rmse_per_source(fuse.nearest_fused(clean(spark, d), track_rows, sample=None)), fuse.prediction_rmse(track_rows, sample=None))
 
 
 # classes, anomalies, conflicts
@@ -333,14 +335,14 @@ def pog_track_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def false_alarm_filter(spark: SparkSession, d: str) -> DataFrame:
-    return pog.false_alarms(observations(spark, d), fused(spark, d), POG)
+    return pog.false_alarms(observations(spark, d), fused(spark, d), POG, tracks=None)
 
 
 # evidence
 
 
 def _mass(m: Column) -> list[Column]:
-    return [F.round(m[k], 4).alias(f"m_{k}") for k in "rft"]
+    return [(F.rint(m[k] * 1e4) / 1e4).alias(f"m_{k}") for k in "rft"]  # halves as SQL's round_even has them
 
 
 @query
@@ -419,29 +421,29 @@ def weak_components(spark: SparkSession, d: str) -> DataFrame:
 @query
 def vulnerability(spark: SparkSession, d: str) -> DataFrame:
     edge_rows, node_rows, _ = graph(spark, d)
-    top = network.degrees(edge_rows).orderBy(F.col("strength").desc(), "node").limit(10)
+    top = network.degrees(edge_rows).orderBy(F.col("strength").desc(), "node").limit(30)
     return rounded(network.vulnerability(edge_rows, node_rows, top))
 
 
 @query
 def label_communities(spark: SparkSession, d: str) -> DataFrame:
-    return network.communities(net_edges(spark, d), 5)
+    return network.communities(net_edges(spark, d))
 
 
 @query
 def community_capacity(spark: SparkSession, d: str) -> DataFrame:
     edge_rows, node_rows, tracks = graph(spark, d)
-    return network.community_capacity(network.capacity(edge_rows, node_rows, tracks), network.communities(edge_rows, 5))
+    return network.community_capacity(network.capacity(edge_rows, node_rows, tracks), network.communities(edge_rows))
 
 
 @query
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(network.betweenness(net_edges(spark, d)), 8)
+    return rounded(network.betweenness(net_edges(spark, d), None), 8)
 
 
 @query
 def critical_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(network.critical_nodes(net_edges(spark, d)), 8)
+    return rounded(network.critical_nodes(net_edges(spark, d), sources=None), 8)
 
 
 # products
@@ -477,6 +479,69 @@ def top_events(spark: SparkSession, d: str) -> DataFrame:
     return rounded(export.top_events(all_events(spark, d)))
 
 
+@query
+def top_anomaly_types(spark: SparkSession, d: str) -> DataFrame:
+    return export.top_types(all_events(spark, d))
+
+
+@query
+def anomaly_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(export.time_histogram(all_events(spark, d)))
+
+
+@query
+def congestion_bands(spark: SparkSession, d: str) -> DataFrame:
+    edge_rows, node_rows, tracks = graph(spark, d)
+    return network.congestion_bands(network.congestion(network.capacity(edge_rows, node_rows, tracks, Network())))
+
+
+@query
+def congested_nodes(spark: SparkSession, d: str) -> DataFrame:
+    edge_rows, node_rows, tracks = graph(spark, d)
+    return network.most_congested(network.congestion(network.capacity(edge_rows, node_rows, tracks, Network())))
+
+
+@query
+def network_report(spark: SparkSession, d: str) -> DataFrame:
+    edge_rows, node_rows, tracks = graph(spark, d)
+    return network.report(network.capacity(edge_rows, node_rows, tracks, Network()), network.communities(edge_rows))
+
+
+@query
+def mean_improvement(spark: SparkSession, d: str) -> DataFrame:
+    return rmse_improvement(spark, d).agg(F.round(F.avg("improvement_pct"), 2).alias("mean_improvement_pct"))
+
+
+@query
+def vulnerable_by_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    edge_rows, node_rows, _ = graph(spark, d)
+    top = network.betweenness(edge_rows, None).orderBy(F.col("betweenness").desc(), "node").limit(30)
+    return rounded(network.vulnerability(edge_rows, node_rows, top).orderBy(F.col("vulnerability_score").desc(), "node").limit(10))
+
+
+@query
+def occupancy_report(spark: SparkSession, d: str) -> DataFrame:
+    obs = observations(spark, d)
+    found = pog.report(obs, pog.false_alarms(obs, fused(spark, d), POG, tracks=None))
+    return found.select("detections", "false_alarms", F.round("false_alarm_rate", 4).alias("false_alarm_rate"))
+
+
+@query
+def sensor_files(spark: SparkSession, d: str) -> DataFrame:
+    """Reports written as the four sensor files, columns in another order than the layout's, and read again."""
+    folder = new_path(spark, "sensor-files")
+    obs = observations(spark, d)
+    for source, (prefix, names, _) in readers.LAYOUT.items():
+        raw = {"rev_time": F.col("time_sec").cast("string")} | {n: F.col(to) for n, to in names.items() if to in obs.columns}
+        if source == "radar":
+            ve, vn = geo.velocity(F.col("speed"), F.col("heading"))
+            raw |= {"velocity_x": ve, "velocity_y": vn, "velocity_z": F.col("climb_rate")}
+        rows = obs.where(F.col("source") == source).select(*[raw[n].alias(n) for n in sorted(raw, reverse=True)])
+        rows.write.option("header", True).csv(f"{folder}/{prefix}.csv")
+    rows = readers.read_all(spark, folder)
+    return rows.select("source", "source_rank", "target_id", "uav_model_text", *[F.round(c, 4).alias(c) for c in ("time_sec", "lat", "lon", "speed", "climb_rate", "frequency")])
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

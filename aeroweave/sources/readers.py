@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..config import SOURCES
 from ..functions.geo import seconds_of_day
+from .excel import read_excel
 
 CANONICAL = T.StructType(
     [
@@ -31,15 +32,10 @@ LAYOUT = {
     "radar": ("ad_radar", {"track_number": "target_id", "longitude": "lon", "latitude": "lat", "height": "alt_geom", "heading_angle": "heading"}, ("time_sec", "lat", "lon")),
     "spectrum": ("ad_spectrum_detect", {"uav_id": "target_id", "sensor_longitude": "lon", "sensor_latitude": "lat", "sensor_altitude": "alt_geom", "frequency": "frequency", "uav_model_text": "uav_model_text"}, ("time_sec",)),
 }
-TEXT = frozenset(("icao", "uas_id", "track_number", "uav_id", "rev_time", "uav_model_text"))
+TEXT = frozenset(("icao", "uas_id", "track_number", "uav_id", "uav_model_text"))
 VELOCITY = ("velocity_x", "velocity_y", "velocity_z")
 
 
-def raw_schema(source: str) -> T.StructType:
-    names = ["rev_time", *LAYOUT[source][1], *(VELOCITY if source == "radar" else ())]
-    return T.StructType([T.StructField(n, T.StringType() if n in TEXT else T.DoubleType()) for n in names])
-
-
 def canonical(raw: DataFrame, source: str) -> DataFrame:
     """Raw rows of a source in canonical columns, typed, sorted out by the columns a row needs."""
     _, names, needed = LAYOUT[source]
@@ -50,7 +46,7 @@ def canonical(raw: DataFrame, source: str) -> DataFrame:
         return F.nullif(c, F.lit(float("nan")))
 
     out = {to: (F.col(n).cast("string") if n in have else F.lit(None).cast("string")) if n in TEXT else number(n) for n, to in names.items()}
-    out["time_sec"] = seconds_of_day(F.col("rev_time").cast("string"))
+    out["time_sec"] = seconds_of_day(F.col("rev_time").cast("string") if "rev_time" in have else F.lit(None).cast("string"))
     if source == "radar":
         x, y, z = map(number, VELOCITY)
         known = x.isNotNull() & y.isNotNull() & z.isNotNull()
@@ -61,19 +57,24 @@ def canonical(raw: DataFrame, source: str) -> DataFrame:
 
 
 def read_source(spark: SparkSession, folder: str, source: str, missing_ok: bool = False) -> DataFrame:
-    """The source's Parquet or CSV file in ``folder``; an error if there is none, unless that is allowed."""
+    """The source's Parquet, CSV or Excel file in ``folder``; an error if there is none, unless that is allowed.
+
+    Columns go by their names, in whatever order the file has them; text that is no number is null.
+    """
     prefix = LAYOUT[source][0]
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for ending in ("parquet", "csv"):
+    for ending in ("parquet", "csv", "xlsx"):
         file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}.{ending}")
         if system.exists(file):
             if ending == "parquet":
                 return canonical(spark.read.parquet(f"{folder}/{prefix}.parquet"), source)
-            return canonical(spark.read.schema(raw_schema(source)).option("header", True).option("enforceSchema", False).csv(f"{folder}/{prefix}.csv"), source)
+            if ending == "xlsx":
+                return canonical(read_excel(spark, f"{folder}/{prefix}.xlsx"), source)
+            return canonical(spark.read.option("header", True).csv(f"{folder}/{prefix}.csv"), source)
     if missing_ok:
         return spark.createDataFrame([], CANONICAL)
-    raise FileNotFoundError(f"{folder}/{prefix}.parquet or .csv")
+    raise FileNotFoundError(f"{folder}/{prefix}.parquet, .csv or .xlsx")
 
 
 def read_all(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small hand-made cases, properties, and comparisons with plain Python."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -227,6 +228,57 @@ def test_readers(spark, tmp_path):
     assert readers.read_source(spark, str(tmp_path / "none"), "adsb", missing_ok=True).count() == 0
 
 
+def workbook(path, rows):
+    """A minimal workbook: shared strings, numbers, one inline string, cells left out."""
+    import zipfile
+
+    strings = sorted({c for r in rows for c in r if isinstance(c, str)})
+
+    def cell(row, k, c):
+        at = f'{chr(65 + k)}{row}'
+        if c is None:
+            return ""
+        if c == "inline":
+            return f'<c r="{at}" t="inlineStr"><is><t>inline</t></is></c>'
+        return f'<c r="{at}" t="s"><v>{strings.index(c)}</v></c>' if isinstance(c, str) else f'<c r="{at}"><v>{c}</v></c>'
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = "".join(f'<row r="{n}">' + "".join(cell(n, k, c) for k, c in enumerate(r)) + "</row>" for n, r in enumerate(rows, 1))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {space} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="one" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}>" + "".join(f"<si><t>{s}</t></si>" for s in strings) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{sheet}</sheetData></worksheet>")
+
+
+def test_readers_go_by_names(spark, tmp_path):
+    """Any order of columns, further and missing columns, a workbook, and Parquet that holds numbers."""
+    (tmp_path / "ad_adsb.csv").write_text("speed,extra,lat,rev_time,lng,icao,heading\n20,?,30.4,00:00:10,114.0,A1,90\nfast,?,30.4,11,114.0,A2,\n")
+    workbook(tmp_path / "ad_radar.xlsx", [("velocity_z", "track_number", "rev_time", "latitude", "longitude", "velocity_x", "velocity_y"), (1, 7, "01:00", 30.4, 114.0, 3, 4), (1, "inline", 61, 30.4, 114.0, None, 4), (1, 9, "01:00", None, 114.0, 3, 4)])
+    workbook(tmp_path / "ad_spectrum_detect.xlsx", [])
+    spark.createDataFrame([("U1", "30.5", 114.0, 30.4)], "uas_id string, rev_time string, longitude double, latitude double").write.parquet(str(tmp_path / "ad_remote_id.parquet"))
+    rows = {(r.source, r.target_id): r for r in readers.read_all(spark, str(tmp_path)).collect()}
+    assert set(rows) == {("adsb", "A1"), ("adsb", "A2"), ("remote_id", "U1"), ("radar", "7"), ("radar", "inline")}
+    assert rows["adsb", "A1"].speed == 20 and rows["adsb", "A2"].speed is None and rows["adsb", "A1"].alt_geom is None
+    assert rows["radar", "7"].speed == 5 and rows["radar", "7"].time_sec == 60 and rows["radar", "inline"].speed is None and rows["radar", "inline"].time_sec == 61
+
+
+def test_rest_without_corpus_operators(tmp_path):
+    """With the corpus operators gone the entry still gives the other queries."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parents[1]
+    shutil.copytree(root / "aeroweave", tmp_path / "aeroweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'heatmap' in q and 'pipeline' not in q and not any(n.startswith('op') and n[2:3].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
 def test_broken_track(spark):
     rows = [("radar", "old", float(t), 10.0 * t, 0.0, 0.0) for t in range(5)] + [("radar", "new", float(t), 10.0 * t, 0.0, 0.0) for t in range(14, 19)]
     (r,) = associate.broken_tracks(observations(spark, rows)).collect()
