@@ -8,9 +8,15 @@ as content, the features of its own text (hashes). A node's importance is the la
 * content: one less the mean entropy of its features, a feature's entropy being that of its spread over the
   host's pages. A text that stands on all pages has entropy 1, one that stands on a single page 0.
 
-Branches of low importance are removed from each page, and so are branches that are noise by their own tag,
-role or names. An article's branch is main content: only noise by name is removed inside it. Statistics are
-counted on all pages; a host's are summed up before and after the shuffle, so large hosts need no large task.
+A branch is worth what the best node in it is worth, less by ``DAMPING`` for each level between. Hosts of few
+pages say little about their nodes: each node counts as important on ``PRIOR_PAGES`` further pages, so that a
+host of a single page has no unimportant branch and no number of pages is a threshold. Pages of equal source are
+one page of the tree.
+
+From each page go the branches of low importance, inside an article too, and the branches that are noise by their
+own tag, role or names, whose text may differ from page to page. A page's article or main element, if it has one,
+bounds the text. Statistics are counted on all pages; a host's are summed up before and after the shuffle, so large
+hosts need no large task.
 """
 
 from __future__ import annotations
@@ -22,14 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, cut, slices
+from .common import columns, cut, slices, small
 
 IMPORTANT = 0.35
-LEAST_PAGES = 8
+DAMPING = 0.9
+PRIOR_PAGES = 4
 
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -195,56 +202,80 @@ _FEATURES = T.StructType(
         T.StructField("node", T.LongType()),
         T.StructField("kind", T.IntegerType()),
         T.StructField("feature", T.LongType()),
-        T.StructField("pages", T.LongType()),
+        T.StructField("pages", T.DoubleType()),
+        T.StructField("chain", T.ArrayType(T.LongType())),
     ]
 )
 PAGE, PRESENTATION, CONTENT = 0, 1, 2
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """host, node, kind, feature, pages: on how many pages of the host the feature stands at the node."""
+    """host, node, kind, feature, pages, chain: on how many pages of the host the feature stands at the node.
+    ``chain`` of a presentation: the node and those above it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows=512, size=8 << 20):
-            counts: dict[tuple[str, int, int, int], int] = {}
-            for url, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                host, page = host_of(url), Page(source)
+            counts: dict[tuple[str, int, int, int], float] = {}
+            chains: dict[int, list[int]] = {}
+            for host, source, weight in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                page = Page(source)
                 own = {(host, 0, PAGE, 0)}
-                paths = {b[0][:k] for b in page.blocks for k in range(1, len(b[0]) + 1)}
-                for path in paths:
-                    own.add((host, _hash(*path), PRESENTATION, _hash(*sorted(page.children.get(path, ())))))
-                for path, _, _, text in page.blocks:
-                    own.add((host, _hash(*path), CONTENT, _hash(text)))
+                names: dict[tuple[str, ...], int] = {}
+                for path in {b[0] for b in page.merged() if not b[1]}:
+                    for k in range(1, len(path) + 1):
+                        if path[:k] not in names:
+                            names[path[:k]] = _hash(*path[:k])
+                for path, node in names.items():
+                    own.add((host, node, PRESENTATION, _hash(*sorted(page.children.get(path, ())))))
+                    chains[node] = [names[path[:k]] for k in range(len(path), 0, -1)]
+                for path, noise, _, text in page.merged():
+                    if not noise:
+                        own.add((host, names.get(path, 0), CONTENT, _hash(text)))
                 for key in own:
-                    counts[key] = counts.get(key, 0) + 1
+                    counts[key] = counts.get(key, 0.0) + weight
             a, b, c, d = zip(*counts, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int64()), pa.array(list(counts.values()), pa.int64())], names=_FEATURES.names)
-
-    rows = columns(pages, url=T.StringType(), html=T.StringType())
-    return rows.mapInArrow(work, _FEATURES).groupBy("host", "node", "kind", "feature").agg(F.sum("pages").alias("pages"))
-
-
-def low_nodes(pages: DataFrame, important: float = IMPORTANT, least: int = LEAST_PAGES) -> DataFrame:
-    """host, nodes: the style nodes of low importance on hosts of at least ``least`` pages."""
+            above = [chains[n] if k == PRESENTATION else None for n, k in zip(b, c, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int64()), pa.array(list(counts.values()), pa.float64()), pa.array(above, pa.list_(pa.int64()))], names=_FEATURES.names
+            )
+
+    rows = columns(pages, url=T.StringType(), html=T.StringType()).select(host_column(F.col("url")).alias("host"), "html")
+    # pages of equal source, told by hash before any is parsed, share the weight of one page
+    marked = rows.withColumn("copy", F.xxhash64("html"))
+    times = cut(marked.groupBy("host", "copy").agg(F.count("*").alias("times")).where("times > 1"), "page-copies")
+    weighed = marked.join(small(times), ["host", "copy"], "left").select("host", "html", (1 / F.coalesce("times", F.lit(1))).alias("weight"))
+    summed = weighed.mapInArrow(work, _FEATURES).groupBy("host", "node", "kind", "feature")
+    return summed.agg(F.round(F.sum("pages"), 6).alias("pages"), F.first("chain").alias("chain"))
+
+
+def importance(pages: DataFrame) -> DataFrame:
+    """host, node, importance: what the branch below each style node is worth."""
     found = cut(features(pages), "features")
-    totals = found.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("m")).where(F.col("m") >= least)
+    totals = found.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("m"))
     seen = found.where(F.col("kind") != PAGE).join(cut(totals, "hosts"), "host")
     log_m = F.log("m")
     # a presentation's share p adds -p log p; a feature on k of m pages is spread evenly over them: log k / log m
-    part = F.when(F.col("kind") == PRESENTATION, F.col("pages") * F.log("pages")).otherwise(F.log("pages") / log_m)
-    sums = seen.groupBy("host", "node", "kind").agg(F.sum("pages").alias("n"), F.count("*").alias("features"), F.sum(part).alias("s"), F.first("m").alias("m"))
-    entropy = (F.log("n") - F.col("s") / F.col("n")) / log_m
+    part = F.when(F.col("kind") == PRESENTATION, F.col("pages") * F.log("pages")).when(F.col("m") > 1, F.log("pages") / log_m).otherwise(0.0)
+    sums = seen.groupBy("host", "node", "kind").agg(F.sum("pages").alias("n"), F.count("*").alias("features"), F.sum(part).alias("s"), F.first("m").alias("m"), F.first("chain", ignorenulls=True).alias("chain"))
+    entropy = F.when(F.col("m") > 1, (F.log("n") - F.col("s") / F.col("n")) / log_m).otherwise(1.0)
     value = F.when(F.col("kind") == PRESENTATION, entropy).otherwise(1 - F.col("s") / F.col("features"))
-    nodes = sums.withColumn("value", value).groupBy("host", "node").agg(F.max("value").alias("importance"))
-    return nodes.where(F.col("importance") < important).groupBy("host").agg(F.collect_list("node").alias("nodes"))
+    nodes = sums.withColumn("value", value).groupBy("host", "node").agg(F.max("value").alias("value"), F.first("m").alias("m"), F.first("chain", ignorenulls=True).alias("chain"))
+    own = nodes.withColumn("value", (F.col("m") * F.col("value") + PRIOR_PAGES) / (F.col("m") + PRIOR_PAGES))
+    above = own.select("host", "value", F.posexplode("chain").alias("levels", "node"))
+    return above.groupBy("host", "node").agg(F.max(F.col("value") * F.pow(F.lit(DAMPING), F.col("levels"))).alias("importance"))
+
+
+def low_nodes(pages: DataFrame, important: float = IMPORTANT) -> DataFrame:
+    """host, nodes: the style nodes whose branches are of low importance."""
+    return importance(pages).where(F.col("importance") < important).groupBy("host").agg(F.collect_list("node").alias("nodes"))
 
 
 def main_text(page: Page, low: frozenset[int]) -> str:
-    """Blocks in page order, without noise, without low branches outside the article; if that leaves nothing
-    and nothing is an article, the blocks that are not noise."""
+    """Blocks in page order that are neither noise nor in a low branch, of the article if there is one. A page of
+    low branches only keeps what is not noise."""
     blocks = [b for b in page.merged() if not b[1]]
     if any(b[2] for b in blocks):
-        return "\n\n".join(b[3] for b in blocks if b[2])
+        blocks = [b for b in blocks if b[2]]
     names: dict[tuple[str, ...], int] = {}
 
     def is_low(path: tuple[str, ...]) -> bool:
@@ -252,12 +283,17 @@ def main_text(page: Page, low: frozenset[int]) -> str:
             head = path[:k]
             if head not in names:
                 names[head] = _hash(*head)
-            if names[head] in low and head[-1].split(".")[0] not in ("html", "body"):
+            if names[head] in low:
                 return True
         return False
 
-    kept = [b for b in blocks if not is_low(b[0])] or blocks
-    return "\n\n".join(b[3] for b in kept)
+    kept = [b for b in blocks if not is_low(b[0])] if low else blocks
+    return "\n\n".join(b[3] for b in kept or blocks)
+
+
+def host_column(url: Column) -> Column:
+    """The same rule as ``host_of``."""
+    return F.lower(F.regexp_replace(F.regexp_extract(F.regexp_replace(F.coalesce(url, F.lit("")), r"^.*?//", ""), r"^([^/?#]*)", 1), "^.*@", ""))
 
 
 _OUT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -266,14 +302,12 @@ _OUT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url"
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars. Null html counts as empty, and gives an empty text.
 
-    A null url is the host "". Repeated rows each get a row and count twice in the tree. Extra columns are
+    A null url is the host "". Repeated rows each get a row and count once in the tree. Extra columns are
     ignored; an empty table gives no rows.
     """
     rows = columns(pages, page_id=T.LongType(), url=T.StringType(), html=T.StringType())
     low = cut(low_nodes(pages), "low-nodes").withColumnRenamed("host", "low_host")
-    # the same rule as host_of
-    host = F.lower(F.regexp_replace(F.regexp_extract(F.regexp_replace(F.coalesce("url", F.lit("")), r"^.*?//", ""), r"^([^/?#]*)", 1), "^.*@", ""))
-    joined = rows.withColumn("host", host).join(low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "nodes")
+    joined = rows.withColumn("host", host_column(F.col("url"))).join(low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "nodes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows=512, size=8 << 20):

@@ -222,6 +222,79 @@ def test_pages(spark):
     assert style_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def plain_importance(sources):
+    """The tree of one host, by loops over its distinct pages."""
+    import math
+    from collections import defaultdict
+
+    pages = [style_tree.Page(h) for h in sorted(set(sources))]
+    m = len(pages)
+    shows, says = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int))
+    for page in pages:
+        blocks = [b for b in page.merged() if not b[1]]
+        for path in {b[0][:k] for b in blocks for k in range(1, len(b[0]) + 1)}:
+            shows[path][frozenset(page.children.get(path, ()))] += 1
+        for path, text in {(b[0], b[3]) for b in blocks}:
+            says[path][text] += 1
+    own = {}
+    for path, seen in shows.items():
+        presentation = -sum(k / m * math.log(k / m, m) for k in seen.values()) if m > 1 else 1.0
+        found = [math.log(k, m) if m > 1 else 0.0 for k in says[path].values()]
+        content = 1 - sum(found) / len(found) if found else 0.0
+        own[path] = (m * max(presentation, content) + style_tree.PRIOR_PAGES) / (m + style_tree.PRIOR_PAGES)
+    return {p: max(v * style_tree.DAMPING ** (len(q) - len(p)) for q, v in own.items() if q[: len(p)] == p) for p in own}
+
+
+def plain_text(page, worth):
+    blocks = [b for b in page.merged() if not b[1]]
+    blocks = [b for b in blocks if b[2]] or blocks
+    kept = [b for b in blocks if all(worth[b[0][:k]] >= style_tree.IMPORTANT for k in range(1, len(b[0]) + 1))]
+    return "\n\n".join(b[3] for b in kept or blocks)
+
+
+def site(host, pages):
+    """Unmarked boilerplate inside articles and around the text of pages without one."""
+    out = []
+    for k in range(pages):
+        body = "".join(f"<p>{host} {k} {j} text of its own</p>" for j in range(1 + k % 3))
+        share = "<div><span>Tell your friends about this story</span></div>"
+        if k % 2:
+            html = f"<body><div><ul><li>Start<li>All stories</ul></div><article><h1>Title {k}</h1>{body}{share}</article></body>"
+        else:
+            html = f"<body><div><ul><li>Start<li>All stories</ul></div><table><tr><td><h1>Title {k}</h1>{body}</td></tr></table><section>Made with care</section></body>"
+        out.append((k, f"http://{host}/{k}", html))
+    return out
+
+
+def check_pages(spark, rows):
+    got = {(r["page_id"], r["url"]): r["text"] for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hosts, changed = {}, 0
+    for _, url, source in rows:
+        hosts.setdefault(style_tree.host_of(url), []).append(source or "")
+    worth = {h: plain_importance(p) for h, p in hosts.items()}
+    for ident, url, source in rows:
+        page = style_tree.Page(source)
+        want = plain_text(page, worth[style_tree.host_of(url)])
+        assert got[ident, url] == want, (ident, url)
+        changed += want != style_tree.main_text(page, frozenset())
+    return got, changed
+
+
+def test_tree_against_plain(spark):
+    rows = [(1000 * n + k, url, html) for n, size in enumerate((1, 2, 5, 40)) for k, url, html in site(f"h{size}.org", size)]
+    rows += [(9000, "http://h5.org/0", site("h5.org", 1)[0][2]), (9001, None, None)]
+    got, changed = check_pages(spark, rows)
+    assert changed >= 40
+    assert got[3001, "http://h40.org/1"] == "Title 1\n\nh40.org 1 0 text of its own\n\nh40.org 1 1 text of its own"
+    assert got[3002, "http://h40.org/2"].endswith("h40.org 2 2 text of its own") and got[3002, "http://h40.org/2"].startswith("Title 2")
+    assert got[0, "http://h1.org/0"].startswith("Start") and got[9001, None] == ""
+
+
+def test_tree_on_tables(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{H.SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    check_pages(spark, rows)
+
+
 def test_search(spark):
     rng = np.random.default_rng(5)
     rows = [(k, rng.normal(size=8).round(3).tolist()) for k in range(1500)]
