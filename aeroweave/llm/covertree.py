@@ -1,10 +1,14 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors become integers, floor(scale * x). Candidates lie in blocks by a hash of the row; each block builds a
-cover tree, each group of queries another, and the two are walked together. A pair of nodes is dropped when
-the largest product its covering radii allow is below the worst k-th score of the query node's queries. Each
-block gives every query its best k; the best k of these are the result. A candidate is shipped once, a query
-once a block.
+Vectors become integers, floor(scale * x). Candidates are dealt to the nearest of a bounded sample of vectors
+(``CENTERS``), so that a bucket covers a part of the space, and large buckets are cut into blocks by a hash. Each
+block builds a cover tree, each group of queries another, and the two are walked together: a pair of nodes is
+dropped when the largest product its covering radii allow is below the worst k-th score of the query node's
+queries. The same bound holds for a whole bucket. A query first asks the bucket that promises most, and with the
+k-th score it has from there only those others whose bound is not below it. The best k of all answers are the
+result; nothing is left out that could be one of them.
+
+How much is dropped depends on the vectors: ``search`` counts the products it computes.
 """
 
 from __future__ import annotations
@@ -23,128 +27,118 @@ from .common import columns, cut
 SCALE = 1024
 TOP = 10
 EVERY = 100
+BUCKET_ROWS = 2048
 BLOCK_ROWS = 16384
-LEAST_BLOCK = 512
+CENTERS = 1024
 QUERY_GROUP = 1024
 LEAF = 64
-MOST_CENTERS = 32
-NO_ID = np.iinfo(np.int64).max
+QUERY_LEAF = 8
+MOST_CENTERS = 16
+NONE = np.iinfo(np.int64).min
 
 
 class Node:
-    """Points ``rows`` within ``radius`` of ``center``; children cover them with half the radius."""
+    """Points ``rows`` within ``radius`` of ``center``; the children share them."""
 
     __slots__ = ("center", "children", "norm", "radius", "rows")
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray, center: np.ndarray, radius: float):
+    def __init__(self, rows: np.ndarray, center: np.ndarray, radius: float):
         self.rows, self.center, self.radius = rows, center, radius
         self.norm = float(np.linalg.norm(center))
         self.children: list[Node] = []
 
 
-def build(points: np.ndarray) -> Node:
-    """A cover tree: at each level centers are farther apart than the level's radius, and every point lies
-    within it of its center; a node's own center goes on to the next level.
-
-    A node of few points is a leaf. So is one whose points mostly lie farther from each other than half its
-    radius: its children would be single points, which bound nothing.
-    """
+def build(points: np.ndarray, leaf: int = LEAF) -> Node:
+    """A cover tree. A node's children are around centers taken farthest first, its own center before all others,
+    until they cover its points within half its radius or are ``MOST_CENTERS``: centers lie at least as far apart
+    as the last one was from those before it, and no point lies farther than that from its nearest center, to
+    which it goes. A node of few points, or of equal ones, is a leaf."""
     rows = np.arange(len(points))
     distance = np.linalg.norm(points - points[0], axis=1)
-    root = Node(points, rows, points[0], float(distance.max()))
+    root = Node(rows, points[0], float(distance.max()))
     todo = [(root, 0)]
     while todo:
         node, first = todo.pop()
-        if len(node.rows) <= LEAF or node.radius == 0:
+        if len(node.rows) <= leaf or node.radius == 0:
             continue
-        half, left, center, found = node.radius / 2, node.rows, first, []
-        while len(left) and len(found) < MOST_CENTERS:
-            far = np.linalg.norm(points[left] - points[center], axis=1)
-            near = far <= half
-            found.append((center, left[near], float(far[near].max(initial=0.0))))
-            left, far = left[~near], far[~near]
-            if len(left):
-                center = left[int(far.argmax())]
-        if len(left) > len(node.rows) // 2:
+        own = points[node.rows]
+        centers, far = [first], np.linalg.norm(own - points[first], axis=1)
+        nearest = np.zeros(len(own), np.int64)
+        while len(centers) < MOST_CENTERS and far.max() > node.radius / 2:
+            centers.append(int(node.rows[far.argmax()]))
+            to = np.linalg.norm(own - points[centers[-1]], axis=1)
+            closer = to < far
+            far[closer], nearest[closer] = to[closer], len(centers) - 1
+        if len(centers) == 1:  # all within half the radius that the node was given: a closer one is known
+            node.radius = float(far.max())
+            todo.append((node, first))
             continue
-        for center, own, radius in found:
-            child = Node(points, own, points[center], radius)
+        for k, center in enumerate(centers):
+            mine = nearest == k
+            child = Node(node.rows[mine], points[center], float(far[mine].max()))
             node.children.append(child)
             todo.append((child, center))
-        for center in left[:: max(1, len(left) // MOST_CENTERS)]:  # what is left: parts around further centers
-            if not len(left):
-                break
-            far = np.linalg.norm(points[left] - points[center], axis=1)
-            take = np.argsort(far, kind="stable")[: -(-len(left) // 2)] if len(left) > LEAF else np.arange(len(left))
-            child = Node(points, left[take], points[center], float(far[take].max(initial=0.0)))
-            node.children.append(child)
-            left = np.delete(left, take)
-        if len(left):
-            far = np.linalg.norm(points[left] - points[left[0]], axis=1)
-            node.children.append(Node(points, left, points[left[0]], float(far.max())))
     return root
 
 
 class Best:
-    """The k best (score, smaller id first) of each query so far."""
+    """The k best (score, smaller id first, null last) of each query so far, none below its ``floor``."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
         self.k = k
-        self.score = np.full((n, k), -np.inf)
-        self.id = np.full((n, k), NO_ID, np.int64)
+        self.floor = np.full(n, NONE) if floor is None else floor
+        self.score = np.full((n, k), NONE)
+        self.none = np.ones((n, k), bool)
+        self.id = np.zeros((n, k), np.int64)
         self.row = np.full((n, k), -1, np.int64)
+        self.products = 0
 
-    def worst(self, queries: np.ndarray) -> float:
-        return float(self.score[queries, -1].min())
+    def worst(self, queries: np.ndarray) -> int:
+        return int(np.maximum(self.score[queries, -1], self.floor[queries]).min())
 
-    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        """``scores``: a row a query, a column a candidate; -inf takes no part."""
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, none: np.ndarray, rows: np.ndarray) -> None:
+        """``scores``: a row a query, a column a candidate; ``NONE`` takes no part."""
         k = self.k
+        self.products += scores.size
+        least = np.maximum(self.score[queries, -1], self.floor[queries])
         if scores.shape[1] > 4 * k:
-            least = np.maximum(np.partition(scores, -k, axis=1)[:, -k], self.score[queries, -1])
-        else:
-            least = self.score[queries, -1]
-        q, c = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            least = np.maximum(np.partition(scores, -k, axis=1)[:, -k], least)
+        q, c = np.nonzero((scores >= least[:, None]) & (scores != NONE))
         if not len(q):
             return
-        old = np.repeat(np.arange(len(queries)), k)
-        at = np.concatenate([old, q])
+        at = np.concatenate([np.repeat(np.arange(len(queries)), k), q])
         score = np.concatenate([self.score[queries].ravel(), scores[q, c]])
+        null = np.concatenate([self.none[queries].ravel(), none[c]])
         ident = np.concatenate([self.id[queries].ravel(), ids[c]])
         row = np.concatenate([self.row[queries].ravel(), rows[c]])
-        order = np.lexsort((row, ident, -score, at))
-        at = at[order]
-        first = np.searchsorted(at, np.arange(len(queries)))
+        order = np.lexsort((row, ident, null, ~score, at))  # ~x orders as -x does, without its one overflow
+        first = np.searchsorted(at[order], np.arange(len(queries)))
         take = order[(first[:, None] + np.arange(k)).ravel()]
-        self.score[queries] = score[take].reshape(-1, k)
-        self.id[queries] = ident[take].reshape(-1, k)
-        self.row[queries] = row[take].reshape(-1, k)
+        for mine, all_of in ((self.score, score), (self.none, null), (self.id, ident), (self.row, row)):
+            mine[queries] = all_of[take].reshape(-1, k)
 
 
-def search(queries: np.ndarray, own: np.ndarray, tree: Node, points: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Best:
-    """The k best rows for each query but its own row (``own``)."""
-    best = Best(len(queries), k)
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0)) * queries.shape[1] < 2**53
+def search(queries: np.ndarray, own: np.ndarray, tree: Node, points: np.ndarray, ids: np.ndarray, none: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray | None = None) -> Best:
+    """The k best rows for each query but its own row (``own``); vectors are whole numbers, products are exact."""
+    best = Best(len(queries), k, floor)
+    narrow = float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0)) * queries.shape[1] < 2**53
+    q, p = (queries.astype(np.float64), points.astype(np.float64)) if narrow else (queries, points)
 
     def bound(a: Node, b: Node) -> float:
         return float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
 
-    start = build(queries)
+    start = build(queries.astype(np.float64), QUERY_LEAF)
     heap, count = [(-bound(start, tree), 0, start, tree)], 0
     while heap:
         up, _, a, b = heapq.heappop(heap)
-        up = -up
-        if up + 1 + 1e-9 * abs(up) < best.worst(a.rows):  # slack for rounding; equal scores may still count
+        if slack(-up) < best.worst(a.rows):
             continue
         if not a.children and not b.children:
             for i in range(0, len(b.rows), 4096):
                 part = b.rows[i : i + 4096]
-                if exact:
-                    scores = queries[a.rows] @ points[part].T
-                else:
-                    scores = (queries[a.rows].astype(object) @ points[part].T.astype(object)).astype(float)
-                scores[own[a.rows][:, None] == rows[part][None, :]] = -np.inf
-                best.add(a.rows, scores, ids[part], rows[part])
+                scores = (q[a.rows] @ p[part].T).astype(np.int64)
+                scores[own[a.rows][:, None] == rows[part][None, :]] = NONE
+                best.add(a.rows, scores, ids[part], none[part], rows[part])
             continue
         split_a = a.children and (not b.children or a.radius >= b.radius)
         for x, y in [(c, b) for c in a.children] if split_a else [(a, c) for c in b.children]:
@@ -153,10 +147,33 @@ def search(queries: np.ndarray, own: np.ndarray, tree: Node, points: np.ndarray,
     return best
 
 
+def slack(bound):
+    """A bound with room for rounding; scores equal to it may still count."""
+    return bound + 1 + 1e-9 * abs(bound)
+
+
 _ROWS = T.StructType([T.StructField("row", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("ints", T.BinaryType())])
 _FOUND = T.StructType([T.StructField("row", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
+_DEALT = T.StructType([*_ROWS.fields, T.StructField("bucket", T.IntegerType()), T.StructField("far", T.DoubleType())])
+_ASKED = T.StructType([*_ROWS.fields, T.StructField("bucket", T.IntegerType()), T.StructField("floor", T.LongType())])
+#: (dim, bucket) -> center; vectors of other lengths are bucket -1 of theirs
+Centers = dict[int, tuple[list[int], np.ndarray]]
+
+
+def _vectors(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<i8").reshape(len(column), -1)
+
+
+def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, places in the batch, vectors) of the rows of each length."""
+    dims, ints = batch.column(2).to_numpy(), batch.column(3).to_pylist()
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        yield dim, at, _vectors([ints[k] for k in at])
+
+
 def _to_ints(scale: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,14 +193,72 @@ def _to_ints(scale: int):
     return work
 
 
+def _deal(centers: Centers):
+    """To each row the bucket of its nearest center, and how far that is."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, far = np.full(batch.num_rows, -1, np.int32), np.full(batch.num_rows, np.inf)
+            for dim, at, x in _by_dim(batch):
+                if dim not in centers:
+                    continue
+                names, c = centers[dim]
+                for i in range(0, len(at), 1024):
+                    part = x[i : i + 1024].astype(np.float64)
+                    square = (part**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * part @ c.T
+                    nearest = square.argmin(axis=1)
+                    bucket[at[i : i + 1024]] = np.array(names, np.int32)[nearest]
+                    far[at[i : i + 1024]] = np.linalg.norm(part - c[nearest], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket), pa.array(far)], names=_DEALT.names)
+
+    return work
+
+
+def _choose(centers: Centers, radius: dict[tuple[int, int], float], home: bool):
+    """For each query the bucket that promises most; or (a further column: the k-th score it has) all others that
+    may hold a score as good as that."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floors = None if home else batch.column(4).to_pylist()
+            at_all, buckets = [], []
+            for dim, at, x in _by_dim(batch):
+                names, c = centers.get(dim, ([], np.empty((0, dim))))
+                known = [k for k, n in enumerate(names) if (dim, n) in radius]
+                inner = x.astype(np.float64) @ c[known].T
+                bound = inner + np.linalg.norm(x.astype(np.float64), axis=1)[:, None] * np.array([radius[dim, names[k]] for k in known])
+                names = np.array([*[names[k] for k in known], *([-1] if (dim, -1) in radius else [])], np.int32)
+                if (dim, -1) in radius:
+                    bound = np.concatenate([bound, np.full((len(at), 1), np.inf)], axis=1)
+                if not len(names):
+                    continue
+                first = bound.argmax(axis=1)
+                for k, place in enumerate(at.tolist()):
+                    if home:
+                        wanted = names[first[k] : first[k] + 1]
+                    else:
+                        least = floors[place]
+                        good = np.ones(len(names), bool) if least is None else slack(bound[k]) >= least
+                        good[first[k]] = False
+                        wanted = names[good]
+                    at_all.append(np.full(len(wanted), place))
+                    buckets.append(wanted)
+            if at_all:
+                rows = batch.select(range(4)).take(pa.array(np.concatenate(at_all)))
+                floor = pa.nulls(rows.num_rows, pa.int64()) if home else batch.column(4).take(pa.array(np.concatenate(at_all)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(buckets)), floor], names=_ASKED.names)
+
+    return work
+
+
 def _search_blocks(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Columns block, asks, row, vec_id, ints, sorted by the first three: a block's candidates, then the queries."""
+        """Columns block, asks, row, vec_id, ints, floor, sorted by the first three: a block's candidates, then the queries."""
         block, data, ask, tree = None, [], [], None
 
-        def vectors(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            x = np.frombuffer(b"".join(r[2] for r in rows), "<i8").reshape(len(rows), -1).astype(np.float64)
-            return x, np.array([NO_ID if r[1] is None else r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64)
+        def vectors(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+            none = np.array([r[1] is None for r in rows])
+            return _vectors([r[2] for r in rows]), np.array([r[1] or 0 for r in rows], np.int64), none, np.array([r[0] for r in rows], np.int64)
 
         def answer() -> Iterator[pa.RecordBatch]:
             nonlocal tree, ask
@@ -191,24 +266,23 @@ def _search_blocks(k: int):
                 ask = []
                 return
             if tree is None:
-                points, ids, rows = vectors(data)
-                tree = (build(points), points, ids, rows)
-            q, qid, own = vectors(ask)
-            best = search(q, own, *tree, k)
+                points, ids, none, rows = vectors(data)
+                tree = (build(points.astype(np.float64)), points, ids, none, rows)
+            q, qid, _, own = vectors(ask)
+            best = search(q, own, *tree, k, np.array([NONE if r[3] is None else r[3] for r in ask], np.int64))
             at, slot = np.nonzero(best.row >= 0)
-            found = best.id[at, slot]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[at]), pa.array(qid[at]), pa.array(found, mask=found == NO_ID), pa.array(best.score[at, slot].astype(np.int64))], names=_FOUND.names
+                [pa.array(own[at]), pa.array(qid[at]), pa.array(best.id[at, slot], mask=best.none[at, slot]), pa.array(best.score[at, slot])], names=_FOUND.names
             )
             ask = []
 
         for batch in batches:
-            for b, asks, row, ident, ints in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, asks, row, ident, ints, floor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != block:
                     yield from answer()
                     block, data, tree = b, [], None
                 if asks:
-                    ask.append((row, ident, ints))
+                    ask.append((row, ident, ints, floor))
                     if len(ask) == QUERY_GROUP:
                         yield from answer()
                 else:
@@ -224,20 +298,40 @@ def top_products(embeddings: DataFrame, k: int = TOP, every: int = EVERY, scale:
     Vectors that are null, empty or hold null or non-finite components take no part. Only vectors of equal
     length meet. A repeated row is a candidate for its double, and as a query has a result of its own. A null
     vec_id is a candidate, last among equal scores, and no query. Extra columns are ignored; an empty table
-    gives no rows.
+    gives no rows. Scores are exact within 64 bits. The centers are at most ``CENTERS`` vectors.
     """
     raw = columns(embeddings, vec_id=T.LongType(), embedding=T.ArrayType(T.DoubleType()))
     rows = cut(raw.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding").mapInArrow(_to_ints(scale), _ROWS), "vectors")
-    n = rows.count()
-    blocks = max(-(-n // BLOCK_ROWS), min(-(-n // LEAST_BLOCK), 2 * embeddings.sparkSession.sparkContext.defaultParallelism), 1)
-    key = F.xxhash64("dim", "b").alias("block")
-    data = rows.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks))).select(key, F.lit(0).alias("asks"), "row", "vec_id", "ints")
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = asked.select(key, F.lit(1).alias("asks"), "row", "vec_id", "ints")
-    dealt = data.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks", "row")
-    found = cut(dealt.mapInArrow(_search_blocks(k), _FOUND), "found")
+    wanted = max(1, min(CENTERS, -(-rows.count() // BUCKET_ROWS)))
+    sample = rows.select("dim", "ints").orderBy(F.xxhash64("row"), "row").limit(wanted).distinct().orderBy("dim", "ints").collect()  # at most CENTERS vectors
+    centers: Centers = {}
+    for dim in {r["dim"] for r in sample}:
+        mine = [i for i, r in enumerate(sample) if r["dim"] == dim]
+        centers[dim] = (mine, _vectors([sample[i]["ints"] for i in mine]).astype(np.float64))
+    dealt = cut(rows.mapInArrow(_deal(centers), _DEALT), "dealt-vectors")
+    # a row for each bucket: at most CENTERS, and one for each length of vectors that has no center
+    found = dealt.groupBy("dim", "bucket").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
+    sizes = cut(found.withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")), "buckets")
+    radius = {(r["dim"], r["bucket"]): r["radius"] for r in sizes.select("dim", "bucket", "radius").collect()}
+    parts = sizes.select("dim", "bucket", "parts")
+    block = F.xxhash64("dim", "bucket", "part").alias("block")
+    data = dealt.join(F.broadcast(parts), ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    data = data.select(block, F.lit(0).alias("asks"), "row", "vec_id", "ints", F.lit(None).cast("long").alias("floor"))
+
+    def answers(asked: DataFrame) -> DataFrame:
+        each = asked.join(F.broadcast(parts), ["dim", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        each = each.select(block, F.lit(1).alias("asks"), "row", "vec_id", "ints", "floor")
+        together = data.unionByName(each).repartition("block").sortWithinPartitions("block", "asks", "row")
+        return cut(together.mapInArrow(_search_blocks(k), _FOUND), "found")
+
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    queries = rows.where(F.col("vec_id") % every == 0)
+    first = answers(queries.mapInArrow(_choose(centers, radius, True), _ASKED))
+    ranked = first.withColumn("rank", F.row_number().over(order))
+    floors = ranked.where(F.col("rank") == k).select("row", F.col("score").alias("floor"))
+    again = queries.join(cut(floors, "floors"), "row", "left").select(*_ROWS.names, "floor")
+    rest = answers(cut(again.mapInArrow(_choose(centers, radius, False), _ASKED), "asked"))
+    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

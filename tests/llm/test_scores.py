@@ -295,18 +295,38 @@ def test_tree_on_tables(spark):
     check_pages(spark, rows)
 
 
-def test_search(spark):
+@pytest.mark.parametrize("bucket_rows", [covertree.BUCKET_ROWS, 60])
+def test_search(spark, monkeypatch, bucket_rows):
+    """All queries against all pairs, with one bucket and with many."""
+    monkeypatch.setattr(covertree, "BUCKET_ROWS", bucket_rows)
     rng = np.random.default_rng(5)
     rows = [(k, rng.normal(size=8).round(3).tolist()) for k in range(1500)]
     rows += [(1500, [float("nan")] * 8), (1600, None), (1700, [None] * 8), (2000, rows[3][1]), (2000, rows[3][1]), (None, rows[4][1])]
+    rows += [(3000 + k, [1.0, float(k), 2.0]) for k in range(5)] + [(2**63 - 1, rows[5][1]), (100 * 2**40, [9e5] * 8), (100 * 2**40 + 1, [9e5 + 1] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    name = next(f.name for f in spark.read.parquet(f"{H.SF}/embeddings.parquet").schema if "array" in f.dataType.simpleString())
-    got = covertree.top_products(df.withColumnRenamed("embedding", name))
-    rows = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if v and None not in v and not np.isnan(v).any()]
-    for q, v in rows:
-        if q is None or q % 100 or q == 2000:
+    found = {}
+    for r in covertree.top_products(df).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    rows = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if v and None not in v and not np.isnan(v).any()]
+    asked = 0
+    for at, (q, v) in enumerate(rows):
+        if q is None or q % 100:
             continue
-        best = sorted(((-int(v @ w), i if i is not None else 1 << 62) for i, w in rows if i != q))[:10]
-        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got.where(f"query_id = {q}").collect()) if q == 100 else None
-        assert mine is None or [(-s, i) for _, i, s in mine] == best
-    assert got.where("query_id in (1500, 1600, 1700)").count() == 0
+        best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i is None, i or 0) for k, (i, w) in enumerate(rows) if k != at and len(w) == len(v))[:10]
+        want = [(n, None if none else i, -s) for n, (s, none, i) in enumerate(best, 1)]
+        assert sorted(found[q])[:: 2 if q == 2000 else 1] == want, q
+        asked += 1
+    assert asked == 19 and not {1500, 1600, 1700} & set(found)
+
+
+def test_search_drops_what_it_may():
+    """Vectors in groups: far fewer products than all, and the same scores."""
+    rng = np.random.default_rng(7)
+    heads = rng.normal(size=(40, 16))
+    points = np.floor(1024 * (heads[rng.integers(0, 40, 8000)] + 0.03 * rng.normal(size=(8000, 16)))).astype(np.int64)
+    queries = points[::100]
+    best = covertree.search(queries, np.arange(0, 8000, 100), covertree.build(points.astype(float)), points, np.arange(8000), np.zeros(8000, bool), np.arange(8000), 10)
+    scores = queries @ points.T
+    scores[np.arange(80), np.arange(0, 8000, 100)] = covertree.NONE
+    assert (np.sort(scores, axis=1)[:, ::-1][:, :10] == best.score).all()
+    assert best.products < 0.5 * scores.size
