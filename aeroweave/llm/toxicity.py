@@ -3,7 +3,8 @@
 A word that may be disguised (signs or digits among its letters, letters drawn out, letters set apart) is a
 lattice: each observed character may stand for the letters it is used for, may be a separator to drop, or a
 repetition to drop, each at a cost. A Viterbi search over the lattice under a character 4-gram model of all
-documents restores the likeliest reading. The restored text is scored by a lexicon of words and word beginnings
+documents restores the likeliest reading: of the whole run, however long, and without a beam. A state is dropped
+only if no rest of the run can bring it ahead of the best one. The restored text is scored by a lexicon of words and word beginnings
 learned from labelled rows, and a logistic model over a text's strongest hits.
 
 The character model counts every character of every document. The classifier learns from a bounded sample
@@ -46,11 +47,12 @@ LEET = {
 }
 SEPARATORS = ".-_*·~'^`/\\,:"
 COST_LEET, COST_DROP_SIGN, COST_BREAK, COST_SEPARATOR, COST_REPEAT, COST_KEEP_REPEAT = 1.0, 4.0, 2.5, 0.7, 0.3, 1.5
-BEAM = 64
 STATISTICS = 6
 
 _EDGE = ".,;:!?\"'()[]{}<>«»…*%&#$-_=|/\\+^~`"
 _LEFT_EDGE = _EDGE.replace("$", "").replace("|", "").replace("+", "")
+#: at a word's end these are letters rather than marks
+_LAST_SIGNS = "$|+"
 #: letters set apart: four or more single characters between single separators
 _APART = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*][^\W_]){3,}(?![^\s.,;:!?])")
 
@@ -82,6 +84,12 @@ class CharModel:
 
     cost: np.ndarray
 
+    @property
+    def margin(self) -> float:
+        """How much a state may lie behind the best one and still end up ahead: with the same rest of the run the
+        two differ in three contexts, and in a break that one of them may not make and drops instead."""
+        return 3 * float(self.cost.max() - self.cost.min()) + COST_DROP_SIGN
+
     @staticmethod
     def of(counts: np.ndarray) -> "CharModel":
         four = counts.reshape((CLASSES,) * ORDER).astype(np.float64)
@@ -94,9 +102,9 @@ class CharModel:
 
     def restore(self, seen: str) -> str:
         """The likeliest reading of a lower-case word; words of the reading are set apart by spaces."""
-        cost = self.cost
-        # state: last three classes -> (cost, text so far)
-        states: dict[tuple[int, int, int, str], tuple[float, str]] = {(0, 0, 0, ""): (0.0, "")}
+        cost, margin = self.cost, self.margin
+        # state: last three classes, last character -> (cost, reading so far as a chain)
+        states: dict[tuple[int, int, int, str], tuple[float, tuple | None]] = {(0, 0, 0, ""): (0.0, None)}
         for i, c in enumerate(seen):
             options: list[tuple[str, float]] = []
             if c.isalpha():
@@ -114,8 +122,8 @@ class CharModel:
                 else:
                     options.append(("", COST_DROP_SIGN))
                 options.append((" ", COST_BREAK))
-            after: dict[tuple[int, int, int, str], tuple[float, str]] = {}
-            for (x, y, z, last), (so_far, text) in states.items():
+            after: dict[tuple[int, int, int, str], tuple[float, tuple | None]] = {}
+            for (x, y, z, last), (so_far, chain) in states.items():
                 for to, extra in options:
                     if not to:
                         key, value = (x, y, z, last), so_far + extra
@@ -127,12 +135,17 @@ class CharModel:
                         k = class_of(to)
                         key, value = (y, z, k, to), so_far + extra + float(cost[x, y, z, k])
                     if key not in after or value < after[key][0]:
-                        after[key] = (value, text + to)
-            if len(after) > BEAM:
-                after = dict(sorted(after.items(), key=lambda s: s[1][0])[:BEAM])
-            states = after or states
-        ends = ((v + float(cost[x, y, z, 0]), t) for (x, y, z, _), (v, t) in states.items())
-        return min(ends)[1].strip()
+                        after[key] = (value, (chain, to) if to else chain)
+            if len(after) > 8:
+                most = min(v for v, _ in after.values()) + margin
+                after = {key: found for key, found in after.items() if found[0] <= most}
+            states = after
+        _, chain = min(((v + float(cost[x, y, z, 0]), chain) for (x, y, z, _), (v, chain) in states.items()), key=lambda end: end[0])
+        out: list[str] = []
+        while chain is not None:
+            chain, to = chain
+            out.append(to)
+        return "".join(reversed(out)).strip()
 
 
 def _drawn_out(text: str) -> bool:
@@ -151,9 +164,7 @@ class Restorer:
         if word not in self.known:
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-            # a long run without spaces is read in parts, so that time stays in proportion
-            parts = [word[i : i + 64] for i in range(0, len(word), 64)]
-            self.known[word] = " ".join(map(self.model.restore, parts))
+            self.known[word] = self.model.restore(word)
         return self.known[word]
 
     def words(self, text: str | None) -> set[str]:
@@ -165,9 +176,12 @@ class Restorer:
                 out.add(token)
                 continue
             core = token.rstrip(_EDGE).lstrip(_LEFT_EDGE)
+            signs = token[len(token.rstrip(_EDGE)) :].rstrip("".join(set(_EDGE) - set(_LAST_SIGNS)))
+            if signs and core and signs.strip(_LAST_SIGNS) == "":
+                out.update(self.reading(core + signs).split())
             if core.isalpha() and not (drawn and _drawn_out(core)):
                 out.add(core)
-            elif sum(map(str.isalpha, core)) >= 2 and len(core) > 2:
+            elif len(core) > 2 and any(map(str.isalpha, core)):
                 out.update(self.reading(core).split())
                 out.update(p for p in re.split(r"[\W\d_]+", core) if len(p) > 2)
         for m in _APART.finditer(low):
@@ -325,13 +339,18 @@ def score(docs: DataFrame, model: CharModel, classifier: Classifier) -> DataFram
 
 
 def without_toxic(docs: DataFrame, model: CharModel, classifier: Classifier) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted toxic."""
-    wanted, place = classifier.starts(), [c.lower() for c in docs.columns].index("text")
+    """The rows of ``docs``, all columns, that are not predicted toxic.
+
+    A null text, or a table without the column, scores as an empty text. Repeated rows stay or go together; an
+    empty table gives no rows. Other columns are passed on as they are.
+    """
+    wanted = classifier.starts()
+    place = next((k for k, c in enumerate(docs.columns) if c.lower() == "text"), None)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for part in slices(batches):
-            texts = part.column(place).to_pylist()
+            texts = [None] * part.num_rows if place is None else part.column(place).to_pylist()
             yield part.filter(pa.array([classifier.score(restorer.marks(t, wanted)) < REJECT_AT for t in texts], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

@@ -73,6 +73,83 @@ def test_restoring():
     assert "stupid" in toxicity.Restorer(model).words("so stuuuupid")
 
 
+def every_reading(model, seen):
+    """The cost of the likeliest reading, over all readings, one by one."""
+    t, best = toxicity, float("inf")
+    todo = [(0, (0, 0, 0), "", 0.0)]
+    while todo:
+        i, (x, y, z), text, cost = todo.pop()
+        if i == len(seen):
+            best = min(best, cost + float(model.cost[x, y, z, 0]))
+            continue
+        c, ways = seen[i], []
+        if c.isalpha():
+            again = i > 0 and seen[i - 1] == c
+            drawn = again and ((i > 1 and seen[i - 2] == c) or seen[i + 1 : i + 2] == c)
+            ways = [(c, t.COST_KEEP_REPEAT if drawn else 0.0), *([("", t.COST_REPEAT)] if drawn else [])]
+        else:
+            ways = [(to, t.COST_LEET) for to in t.LEET.get(c, "")]
+            ways += [("", t.COST_SEPARATOR if c not in t.LEET and c in t.SEPARATORS + " " else t.COST_DROP_SIGN), (" ", t.COST_BREAK)]
+        for to, extra in ways:
+            if not to:
+                todo.append((i + 1, (x, y, z), text, cost + extra))
+            elif to == " ":
+                if text and text[-1] != " ":
+                    todo.append((i + 1, (0, 0, 0), text + " ", cost + extra + float(model.cost[x, y, z, 0])))
+            else:
+                k = t.class_of(to)
+                todo.append((i + 1, (y, z, k), text + to, cost + extra + float(model.cost[x, y, z, k])))
+    return best
+
+
+def cost_of(model, seen, reading):
+    """The least cost at which ``seen`` gives ``reading``, spaces at its ends aside: all paths that spell it."""
+    full = toxicity.CharModel(model.cost)
+    costs = []
+
+    def walk(i, context, at, cost, last):
+        if i == len(seen):
+            if reading[at:].strip() == "":
+                costs.append(cost + float(full.cost[(*context, 0)]))
+            return
+        c = seen[i]
+        t = toxicity
+        if c.isalpha():
+            again = i > 0 and seen[i - 1] == c
+            drawn = again and ((i > 1 and seen[i - 2] == c) or seen[i + 1 : i + 2] == c)
+            ways = [(c, t.COST_KEEP_REPEAT if drawn else 0.0), *([("", t.COST_REPEAT)] if drawn else [])]
+        else:
+            ways = [(to, t.COST_LEET) for to in t.LEET.get(c, "")]
+            ways += [("", t.COST_SEPARATOR if c not in t.LEET and c in t.SEPARATORS + " " else t.COST_DROP_SIGN), (" ", t.COST_BREAK)]
+        for to, extra in ways:
+            if not to:
+                walk(i + 1, context, at, cost + extra, last)
+            elif to == " ":
+                if last not in ("", " ") and (reading[at : at + 1] in (" ", "")):
+                    walk(i + 1, (0, 0, 0), at + 1, cost + extra + float(full.cost[(*context, 0)]), " ")
+            elif reading[at : at + 1] == to:
+                k = t.class_of(to)
+                walk(i + 1, (*context[1:], k), at + 1, cost + extra + float(full.cost[(*context, k)]), to)
+
+    walk(0, (0, 0, 0), 0, 0.0, "")
+    return min(costs)
+
+
+def test_restoring_is_the_best_path():
+    """No beam, no parts: the reading costs what the best of all readings costs, and runs of any length are one."""
+    import random
+
+    rng = random.Random(11)
+    model = toxicity.CharModel.of(toxicity.gram_counts([b"you are an idiot and a liar , stop it now " * 20, b"the cat sat on the mat"]))
+    for _ in range(150):
+        seen = "".join(rng.choice("idot1!0$.- aa4") for _ in range(rng.randint(1, 9))).strip() or "a"
+        want = every_reading(model, seen)
+        assert cost_of(model, seen, model.restore(seen)) == pytest.approx(want, abs=1e-4), seen
+    long = "stop.it.now." * 6 + "1d1ot"
+    assert len(long) > 64 and toxicity.Restorer(model).reading(long).endswith("idiot")
+    assert {"idiot", "idiots"} & toxicity.Restorer(model).words("you 1d107 1d1ot$")
+
+
 def test_toxicity_small(spark):
     docs = H.documents(spark)
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
