@@ -13,6 +13,7 @@ The character model counts every character of every document. The classifier lea
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -84,12 +85,20 @@ class CharModel:
 
     cost: np.ndarray
 
-    @property
+    @functools.cached_property
     def margin(self) -> float:
         """How much a state may lie behind the best one and still end up ahead: with the same rest of the run the
         two differ in three contexts, and in a break that one of them may not make and drops instead."""
         return 3 * float(self.cost.max() - self.cost.min()) + COST_DROP_SIGN
 
+    @functools.cached_property
+    def flat(self) -> list[float]:
+        """The costs as plain numbers, at ((x * CLASSES + y) * CLASSES + z) * CLASSES + c."""
+        return self.cost.ravel().tolist()
+
+    def __getstate__(self) -> dict:
+        return {"cost": self.cost}  # what is derived from it is derived again, once a task
+
     @staticmethod
     def of(counts: np.ndarray) -> "CharModel":
         four = counts.reshape((CLASSES,) * ORDER).astype(np.float64)
@@ -102,9 +111,9 @@ class CharModel:
 
     def restore(self, seen: str) -> str:
         """The likeliest reading of a lower-case word; words of the reading are set apart by spaces."""
-        cost, margin = self.cost, self.margin
-        # state: last three classes, last character -> (cost, reading so far as a chain)
-        states: dict[tuple[int, int, int, str], tuple[float, tuple | None]] = {(0, 0, 0, ""): (0.0, None)}
+        cost, margin = self.flat, self.margin
+        # state: last three classes as one number, last character -> (cost, reading so far as a chain)
+        states: dict[tuple[int, str], tuple[float, tuple | None]] = {(0, ""): (0.0, None)}
         for i, c in enumerate(seen):
             options: list[tuple[str, float]] = []
             if c.isalpha():
@@ -122,25 +131,26 @@ class CharModel:
                 else:
                     options.append(("", COST_DROP_SIGN))
                 options.append((" ", COST_BREAK))
-            after: dict[tuple[int, int, int, str], tuple[float, tuple | None]] = {}
-            for (x, y, z, last), (so_far, chain) in states.items():
-                for to, extra in options:
-                    if not to:
-                        key, value = (x, y, z, last), so_far + extra
-                    elif to == " ":
+            ways = [(to, extra, 0 if to == " " else class_of(to) if to else -1) for to, extra in options]
+            after: dict[tuple[int, str], tuple[float, tuple | None]] = {}
+            for (context, last), (so_far, chain) in states.items():
+                for to, extra, k in ways:
+                    if k < 0:
+                        key, value = (context, last), so_far + extra
+                    elif k == 0:
                         if last in ("", " "):
                             continue
-                        key, value = (0, 0, 0, " "), so_far + extra + float(cost[x, y, z, 0])
+                        key, value = (0, " "), so_far + extra + cost[context * CLASSES]
                     else:
-                        k = class_of(to)
-                        key, value = (y, z, k, to), so_far + extra + float(cost[x, y, z, k])
+                        code = context * CLASSES + k
+                        key, value = (code % CLASSES**3, to), so_far + extra + cost[code]
                     if key not in after or value < after[key][0]:
                         after[key] = (value, (chain, to) if to else chain)
             if len(after) > 8:
                 most = min(v for v, _ in after.values()) + margin
                 after = {key: found for key, found in after.items() if found[0] <= most}
             states = after
-        _, chain = min(((v + float(cost[x, y, z, 0]), chain) for (x, y, z, _), (v, chain) in states.items()), key=lambda end: end[0])
+        _, chain = min(((v + cost[context * CLASSES], chain) for (context, _), (v, chain) in states.items()), key=lambda end: end[0])
         out: list[str] = []
         while chain is not None:
             chain, to = chain
