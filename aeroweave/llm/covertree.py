@@ -31,8 +31,8 @@ BUCKET_ROWS = 2048
 BLOCK_ROWS = 16384
 CENTERS = 1024
 QUERY_GROUP = 1024
-LEAF = 64
-QUERY_LEAF = 8
+LEAF = 256
+QUERY_LEAF = 16
 MOST_CENTERS = 16
 NONE = np.iinfo(np.int64).min
 
@@ -50,9 +50,10 @@ class Node:
 
 def build(points: np.ndarray, leaf: int = LEAF) -> Node:
     """A cover tree. A node's children are around centers taken farthest first, its own center before all others,
-    until they cover its points within half its radius or are ``MOST_CENTERS``: centers lie at least as far apart
+    until they cover its points within half its radius or are as many as leaves of its points would be, at most
+    ``MOST_CENTERS``: centers lie at least as far apart
     as the last one was from those before it, and no point lies farther than that from its nearest center, to
-    which it goes. A node of few points, or of equal ones, is a leaf."""
+    which it goes. Centers with few points share a child. A node of few points, or of equal ones, is a leaf."""
     rows = np.arange(len(points))
     distance = np.linalg.norm(points - points[0], axis=1)
     root = Node(rows, points[0], float(distance.max()))
@@ -64,7 +65,8 @@ def build(points: np.ndarray, leaf: int = LEAF) -> Node:
         own = points[node.rows]
         centers, far = [first], np.linalg.norm(own - points[first], axis=1)
         nearest = np.zeros(len(own), np.int64)
-        while len(centers) < MOST_CENTERS and far.max() > node.radius / 2:
+        most = min(MOST_CENTERS, max(2, len(own) // leaf))
+        while len(centers) < most and far.max() > node.radius / 2:
             centers.append(int(node.rows[far.argmax()]))
             to = np.linalg.norm(own - points[centers[-1]], axis=1)
             closer = to < far
@@ -73,11 +75,21 @@ def build(points: np.ndarray, leaf: int = LEAF) -> Node:
             node.radius = float(far.max())
             todo.append((node, first))
             continue
-        for k, center in enumerate(centers):
+        sizes = np.bincount(nearest, minlength=len(centers))
+        few = np.flatnonzero(sizes < leaf // 4)
+        if len(few) == len(centers):
+            continue
+        for k in np.flatnonzero(sizes >= leaf // 4).tolist():
             mine = nearest == k
-            child = Node(node.rows[mine], points[center], float(far[mine].max()))
+            child = Node(node.rows[mine], points[centers[k]], float(far[mine].max()))
+            node.children.append(child)
+            todo.append((child, centers[k]))
+        if len(few):  # what lies alone: one child, so that no leaf holds next to nothing
+            rest = node.rows[np.isin(nearest, few)]
+            to = np.linalg.norm(points[rest] - points[centers[few[0]]], axis=1)
+            child = Node(rest, points[centers[few[0]]], float(to.max()))
             node.children.append(child)
-            todo.append((child, center))
+            todo.append((child, centers[few[0]]))
     return root
 
 

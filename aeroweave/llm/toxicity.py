@@ -54,7 +54,7 @@ _EDGE = ".,;:!?\"'()[]{}<>«»…*%&#$-_=|/\\+^~`"
 _LEFT_EDGE = _EDGE.replace("$", "").replace("|", "").replace("+", "")
 #: at a word's end these are letters rather than marks
 _LAST_SIGNS = "$|+"
-_MARKS = "".join(sorted(set(_EDGE) - set(_LAST_SIGNS)))
+_PLAIN_EDGE = "".join(sorted(set(_EDGE) - set(_LAST_SIGNS)))
 #: letters set apart: four or more single characters between single separators
 _APART = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*][^\W_]){3,}(?![^\s.,;:!?])")
 
@@ -187,7 +187,7 @@ class Restorer:
                 out.add(token)
                 continue
             core = token.rstrip(_EDGE).lstrip(_LEFT_EDGE)
-            tail = token.rstrip(_MARKS)
+            tail = token.rstrip(_PLAIN_EDGE)
             if core and tail[-1] in _LAST_SIGNS:
                 out.update(self.reading(core + tail[len(tail.rstrip(_LAST_SIGNS)) :]).split())
             if core.isalpha() and not (drawn and _drawn_out(core)):
