@@ -32,7 +32,7 @@ BLOCK_ROWS = 16384
 CENTERS = 1024
 QUERY_GROUP = 1024
 LEAF = 256
-QUERY_LEAF = 16
+QUERY_LEAF = 4
 MOST_CENTERS = 16
 NONE = np.iinfo(np.int64).min
 
