@@ -318,3 +318,26 @@ def test_streams_agree_with_batch(spark, tmp_path):
     want = {(r.system_track_id, r.time_sec): r.e for r in imm.imm_fused(obs.drop("system_track_id"), groups).collect()}
     seen = {(r.system_track_id, r.time_sec): r.e for r in run(flows.imm_fused(read()), "imm").collect()}
     assert seen == pytest.approx(want)
+
+
+def test_nearest_fused_against_plain(spark):
+    rng = random.Random(3)
+    points = [(f"ST{k}", 5.0 * i, rng.uniform(-9, 9), rng.uniform(-9, 9)) for k in range(4) for i in sorted(rng.sample(range(60), [4, 9, 20, 40][k]))]
+    reports = [(s, t, rng.choice([round(rng.uniform(0, 300), 1), 5.0 * rng.randrange(60) + 2.5]), rng.uniform(-9, 9), rng.uniform(-9, 9)) for s in ("adsb", "radar") for t in "abc" for _ in range({"a": 2, "b": 12, "c": 70}[t])]
+    reports = [(i, *r) for i, r in enumerate(reports)]
+    reports.append(reports[20])  # the same report twice
+    want = []
+    for track in {p[0] for p in points}:
+        own = [p for p in points if p[0] == track]
+        for target in {r[1:3] for r in reports} if len(own) >= 5 else ():
+            seen = sorted((r[3], r[0], r[4], r[5]) for r in reports if r[1:3] == target and own[0][1] - 5 <= r[3] <= own[-1][1] + 5)
+            for t, _, e, n in sorted(set(seen[:20])) if len(seen) >= 3 else ():
+                gap, _, fe, fn = min((abs(t - p[1]), *p[1:]) for p in own)
+                if gap <= 3:
+                    want.append((target[0], round(e - fe, 6), round(n - fn, 6)))
+    fused = spark.createDataFrame(points, "system_track_id string, time_sec double, e double, n double")
+    obs = spark.createDataFrame(reports, "obs_id long, source string, target_id string, time_sec double, e double, n double")
+    found = fuse.nearest_fused(obs, fused, sample=None)
+    assert sorted((r.source, round(r.de, 6), round(r.dn, 6)) for r in found.collect()) == sorted(want) and len(want) > 50
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]  # nothing made of the pairs is grouped
