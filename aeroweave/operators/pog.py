@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Occupancy
 from ..functions.geo import distance2
 from ..functions.rules import in_uav_band
+from .graph import cut
 
 
 def events(obs: DataFrame, p: Occupancy = Occupancy()) -> DataFrame:
@@ -90,11 +91,8 @@ def false_alarms(obs: DataFrame, fused: DataFrame, p: Occupancy = Occupancy(), t
     asked = fused.where("e is not null and n is not null")
     if tracks is not None:
         asked = asked.join(F.broadcast(fused.select("system_track_id").distinct().orderBy("system_track_id").limit(tracks)), "system_track_id", "left_semi")  # at most ``tracks`` rows
-    half = p.false_alarm_s
-    several = groups.where("sensors >= 2").select(*keys, "at", "se", "sn").withColumn("bucket", F.explode(F.array(*[F.floor(F.col("at") / half) + d for d in (-1, 0, 1)])))
-    near = several.join(asked.select("system_track_id", "time_sec", "e", "n").withColumn("bucket", F.floor(F.col("time_sec") / half)), "bucket").where(F.abs(F.col("time_sec") - F.col("at")) <= half)
-    means = near.groupBy(*keys, "se", "sn", "system_track_id").agg(F.avg("e").alias("me"), F.avg("n").alias("mn"))
-    heard = means.where(distance2(F.col("me"), F.col("mn"), F.col("se"), F.col("sn")) < 0.8 * p.range_m).select(*keys).distinct().withColumn("heard", F.lit(True))
+    several = groups.where("sensors >= 2").select(*keys, "at", "se", "sn")
+    heard = _heard(several, keys, asked.select("system_track_id", "time_sec", "e", "n"), p.false_alarm_s, 0.8 * p.range_m).withColumn("heard", F.lit(True))
     judged = groups.join(heard, keys, "left")
     uneven = (F.col("rows") >= 3) & (F.col("mean_step") < 2) & (F.try_divide("sd", "mean_step") > 1.5)
     reason = (
@@ -106,6 +104,36 @@ def false_alarms(obs: DataFrame, fused: DataFrame, p: Occupancy = Occupancy(), t
     return judged.withColumn("reason", reason).where("reason is not null").select(*keys, "rows", "sensors", "reason")
 
 
+#: Rows of numbers that are broadcast; more are joined by a shuffle.
+FEW_ROWS = 100_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+def _heard(several: DataFrame, keys: list[str], points: DataFrame, half_s: float, reach_m: float) -> DataFrame:
+    """``keys`` of the groups (at, se, sn) within whose reach the mean place of some track lies, over its points
+    at most ``half_s`` from ``at``.
+
+    Groups whose times take the same points share a span, from the first to the last time of these points, and
+    within a span those at one place ask the same. So each track's mean is made once a span, and is held against
+    the distinct places only.
+    """
+    bucket = F.floor(F.col("time_sec") / half_s)
+    times = cut(points.select("time_sec").distinct().withColumn("bucket", bucket))
+    around = several.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("at") / half_s) + d for d in (-1, 0, 1)])))
+    met = around.join(times, "bucket").where(F.abs(F.col("time_sec") - F.col("at")) <= half_s)
+    spans = cut(met.groupBy(*keys, "se", "sn").agg(F.min("time_sec").alias("low"), F.max("time_sec").alias("high")))
+    asks = _few(spans.select("low", "high", "se", "sn").distinct())
+    covered = spans.select("low", "high").distinct().withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / half_s), F.floor(F.col("high") / half_s))))
+    covered = _few(covered.join(times, "bucket").where("time_sec between low and high").select("low", "high", "time_sec"))
+    means = points.repartition("system_track_id").join(covered, "time_sec").groupBy("low", "high", "system_track_id").agg(F.avg("e").alias("me"), F.avg("n").alias("mn"))
+    found = means.join(asks, ["low", "high"]).where(distance2(F.col("me"), F.col("mn"), F.col("se"), F.col("sn")) < reach_m).select("low", "high", "se", "sn").distinct()
+    return spans.join(found, ["low", "high", "se", "sn"]).select(*keys)
+
+
 def report(obs: DataFrame, alarms: DataFrame) -> DataFrame:
     """One row: detections, those in false groups and their share, groups by reason."""
     total = obs.where("source = 'spectrum'").agg(F.count("*").alias("detections"))

@@ -341,3 +341,32 @@ def test_nearest_fused_against_plain(spark):
     assert sorted((r.source, round(r.de, 6), round(r.dn, 6)) for r in found.collect()) == sorted(want) and len(want) > 50
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]  # nothing made of the pairs is grouped
+
+
+def test_false_alarms_near_tracks_against_plain(spark):
+    rng = random.Random(4)
+    rows = [(k, f"t{k // 4}", rng.choice([rng.uniform(0, 200), 10.0 * rng.randrange(20)]), rng.choice([-9000.0, 0.0, 9000.0])) for k in range(160)]
+    rows = [(i, t, s, 2440.0, i % 3, e, 0.0, "spectrum") for i, t, s, e in rows for s in (s, s)]
+    points = [(f"ST{k}", rng.choice([5.0 * i, 5.0 * i + rng.random()]), rng.choice([-9000.0, 0.0, 9000.0]) + rng.uniform(-5000, 5000), 0.0) for k in range(2) for i in range(0, 40, 4)]
+    groups = {}
+    for i, t, s, _, sensor, e, _, _ in rows:
+        groups.setdefault((t, math.floor(s / 10)), []).append((sensor, s, e))
+    want = set()
+    for key, g in groups.items():
+        if len({x[0] for x in g}) < 2:
+            continue
+        at, se = (sum(x[k] for x in g) / len(g) for k in (1, 2))
+        near = {}
+        for track, t, e, _ in points:
+            if abs(t - at) <= 10:
+                near.setdefault(track, []).append(e)
+        if not any(abs(sum(v) / len(v) - se) < 4000 for v in near.values()):
+            want.add(key)
+    obs = spark.createDataFrame(rows, "obs_id long, target_id string, time_sec double, frequency double, sensor_id int, e double, n double, source string")
+    fused = spark.createDataFrame(points, "system_track_id string, time_sec double, e double, n double")
+    found = pog.false_alarms(obs, fused, tracks=None)
+    by = {(r.target_id, r.window): r.reason for r in found.collect()}
+    assert {k for k, why in by.items() if why == "no_track_corroboration"} == {k for k in want if by.get(k) != "irregular_intervals"}
+    assert 5 < len(want) < len([k for k, g in groups.items() if len({x[0] for x in g}) > 1])
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Aggregate" in x and "target_id" in x and "system_track_id" in x]  # no row for each group and track
