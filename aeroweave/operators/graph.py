@@ -1,11 +1,13 @@
-"""Iterative graph operators as DataFrame rounds; each round is cut by a reliable checkpoint."""
+"""Iterative graph operators as DataFrame rounds; each round is written to the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,9 +27,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write to the shared folder and read back.
+
+    A checkpoint would keep the optimizer's estimate of its size; a join's is the product of its sides', so round
+    by round the number gets several times the digits, until the driver has no memory for it.
+    """
+    path = new_path(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -74,18 +81,28 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> Da
 def greedy_matching(pairs: DataFrame, group: tuple[str, ...], left: str, right: str, score: str) -> DataFrame:
     """Rows accepted in order of score (then left, right), each side at most once in its group.
 
-    Rounds: a pair that is the best of both its sides would be accepted next in any order; its sides leave.
+    Sequential by nature: each group's pairs stream in order through one task, which holds the ids taken so far.
+    Only ids and scores take this way; the rows are joined to what is accepted.
     """
-    left_cols = pairs.columns
-    rest, taken = cut(pairs), None
-    while True:
-        order = (F.col(score).desc(), F.col(left), F.col(right))
-        one = Window.partitionBy(*group, left).orderBy(*order)
-        two = Window.partitionBy(*group, right).orderBy(*order)
-        ranked = rest.withColumns({"r1": F.row_number().over(one), "r2": F.row_number().over(two)})
-        best = cut(ranked.where("r1 = 1 and r2 = 1").select(*left_cols))
-        if not best.take(1):
-            return rest if taken is None else taken
-        taken = best if taken is None else taken.unionByName(best)
-        rest = rest.join(best.select(*group, left), [*group, left], "left_anti").join(best.select(*group, right), [*group, right], "left_anti")
-        rest = cut(rest.select(*left_cols))
+    names = (*group, left, right)
+    pairs = cut(pairs)
+    shape = pairs.select(*names, score).schema
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, one, two = None, set(), set()
+        for batch in batches:
+            keep = []
+            lists = [batch.column(k).to_pylist() for k in range(len(names))]
+            for i, (*key, a, b) in enumerate(zip(*lists, strict=True)):
+                if key != now:
+                    now, one, two = key, set(), set()
+                if a not in one and b not in two:
+                    one.add(a)
+                    two.add(b)
+                    keep.append(i)
+            if keep:
+                yield batch.take(pa.array(keep))
+
+    ordered = pairs.select(*names, score).repartition(*group).sortWithinPartitions(*group, F.col(score).desc(), left, right)
+    taken = cut(ordered.mapInArrow(accept, shape))
+    return pairs.join(taken, [*names, score], "left_semi")

@@ -370,3 +370,21 @@ def test_false_alarms_near_tracks_against_plain(spark):
     assert 5 < len(want) < len([k for k, g in groups.items() if len({x[0] for x in g}) > 1])
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not [x for x in plan if "Aggregate" in x and "target_id" in x and "system_track_id" in x]  # no row for each group and track
+
+
+def test_greedy_takes_no_rounds(spark):
+    """A chain of pairs, each better than the next: rounds would take one of it at a time."""
+    rows = [("g", f"a{i:02}", f"b{j:02}", 1.0 - (i + j) / 100) for i in range(20) for j in (i, i + 1)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "greedy matching of a chain")
+    got = graph.greedy_matching(spark.createDataFrame(rows, "g string, a string, b string, s double"), ("g",), "a", "b", "s").collect()
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.a, r.b) for r in got) == [(f"a{i:02}", f"b{i:02}") for i in range(20)] and jobs <= 12
+
+
+def test_components_of_a_long_path_keep_estimates_small(spark):
+    edges = spark.createDataFrame([(f"n{i:04}", f"n{i + 1:04}") for i in range(300)], "a string, b string")
+    found = graph.components(edges)
+    assert {r.component for r in found.collect()} == {"n0000"}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
