@@ -19,11 +19,13 @@ def track_summary(obs: DataFrame, least: int = 5) -> DataFrame:
 
 def coarse_candidates(summary: DataFrame, p: Association = Association()) -> DataFrame:
     """Pairs of tracks of two sources whose times may meet and whose centroids are near: joined by grid cells."""
-    cell = {"cx": F.floor(F.col("e_c") / p.coarse_m), "cy": F.floor(F.col("n_c") / p.coarse_m)}
-    names = ("source_rank", "source", "target_id", "t_min", "t_max", "e_c", "n_c", "n_rows")
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    side = 2 * p.coarse_m
+    cell = {"cx": F.floor(F.col("e_c") / side), "cy": F.floor(F.col("n_c") / side)}
+    names = ("source_rank", "source", "target_id", "t_min", "t_max", "e_c", "n_c", "n_rows", *(c for c in ("reports",) if c in summary.columns))
     a = summary.withColumns(cell).select("cx", "cy", *[F.col(c).alias(f"{c}_a") for c in names])
-    b = summary.withColumns(cell).withColumn("d", F.explode(near)).withColumns({"cx": F.col("cx") + F.col("d.i"), "cy": F.col("cy") + F.col("d.j")})
+    b = summary
+    for c, at in (("cx", "e_c"), ("cy", "n_c")):  # every cell that the largest distance reaches
+        b = b.withColumn(c, F.explode(F.sequence(*[F.floor((F.col(at) + d) / side) for d in (-p.coarse_m, p.coarse_m)])))
     b = b.select("cx", "cy", *[F.col(c).alias(f"{c}_b") for c in names])
     pairs = a.join(b, ["cx", "cy"]).where("source_rank_a < source_rank_b").withColumn("centroid_m", distance2(F.col("e_c_a"), F.col("n_c_a"), F.col("e_c_b"), F.col("n_c_b")))
     close = F.when((F.col("source_a") == "remote_id") & (F.col("source_b") == "radar"), p.coarse_close_m).otherwise(p.coarse_m)
@@ -58,32 +60,37 @@ def similarity(p: Association = Association()) -> tuple[Column, dict[str, Column
     return F.when(rejected, 0.0).otherwise(score), details
 
 
-def nearest_matches(obs: DataFrame, candidates: DataFrame, p: Association = Association()) -> DataFrame:
+_STATE = {"t": "time_sec", "e": "e", "n": "n", "u": "u", "speed": "speed", "heading": "heading", "climb": "climb_rate"}
+
+
+def with_reports(summary: DataFrame, obs: DataFrame) -> DataFrame:
+    """The summary with ``reports``, an array of a track's states in order of time."""
+    state = F.struct("time_sec", "obs_id", *[F.col(c).alias(x) for x, c in _STATE.items()])
+    found = obs.where("source != 'spectrum'").groupBy(*TRACK).agg(F.array_sort(F.collect_list(state)).alias("reports"))
+    return summary.join(found.withColumn("reports", F.transform("reports", lambda r: F.struct(*[r[x].alias(x) for x in _STATE]))), list(TRACK))
+
+
+def nearest_matches(candidates: DataFrame, p: Association = Association()) -> DataFrame:
     """Each candidate pair's probes of the sparser track with the nearest report in time of the other, scored.
 
-    Probes: all reports of a track of three or fewer, else the first, the middle and the last. The probes are
-    few, so only the other track's reports move, once per candidate.
+    ``candidates``: coarse candidates of a summary with reports. Probes: all reports of a track of three or
+    fewer, else the first, the middle and the last. A pair holds all that it needs, so no pairs are shuffled.
     """
     pairs = candidates.where(F.greatest("t_min_a", "t_min_b") <= F.least("t_max_a", "t_max_b"))
     base_a = F.col("n_rows_a") <= F.col("n_rows_b")
-    sides = pairs.select(
-        *[F.col(f"{c}_{s}") for s in "ab" for c in ("source", "target_id")],
-        *[F.when(base_a, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_base") for c in ("source", "target_id")],
-        *[F.when(base_a, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_other") for c in ("source", "target_id")],
-    )
-    w = Window.partitionBy(*TRACK)
-    ranked = obs.where("source != 'spectrum'").withColumns({"k": F.row_number().over(w.orderBy("time_sec", "obs_id")) - 1, "m": F.count("*").over(w)})
-    probe = (F.col("m") <= 3) | F.col("k").isin(0) | (F.col("k") == F.floor(F.col("m") / 2)) | (F.col("k") == F.col("m") - 1)
-
-    def state(k: int) -> list[Column]:
-        return [F.col(a).alias(f"{b}{k}") for a, b in (("time_sec", "t"), ("e", "e"), ("n", "n"), ("u", "u"), ("speed", "speed"), ("heading", "heading"), ("climb_rate", "climb"))]
-
-    probes = ranked.where(probe).select(F.col("source").alias("source_base"), F.col("target_id").alias("target_id_base"), F.col("k").alias("probe"), *state(1))
-    others = ranked.select(F.col("source").alias("source_other"), F.col("target_id").alias("target_id_other"), F.col("k").alias("other"), *state(2))
-    met = sides.join(probes, ["source_base", "target_id_base"]).join(others, ["source_other", "target_id_other"])
-    keys = ["source_a", "target_id_a", "source_b", "target_id_b", "probe"]
-    nearest = met.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"{x}{k}") for k in (1, 2) for x in ("t", "e", "n", "u", "speed", "heading", "climb")]), F.struct(F.abs(F.col("t1") - F.col("t2")), F.col("other"))).alias("s"))
-    rows = nearest.select(*keys, "s.*").where(F.abs(F.col("t1") - F.col("t2")) <= p.max_gap_s)
+    base, other = (F.when(base_a, F.col(f"reports_{x}")).otherwise(F.col(f"reports_{y}")) for x, y in ("ab", "ba"))
+    keys = ["source_a", "target_id_a", "source_b", "target_id_b"]
+    pairs = pairs.select(*keys, base.alias("base"), other.alias("other"))
+    m = F.size("base")
+    probes = F.when(m <= 3, F.sequence(F.lit(0), m - 1)).otherwise(F.array(F.lit(0), F.floor(m / 2).cast("int"), m - 1))
+
+    def met(k: Column) -> Column:
+        t = F.get("base", k)["t"]
+        nearest = F.array_min(F.transform("other", lambda x, i: F.struct(F.abs(t - x["t"]).alias("gap"), i.alias("k"))))["k"]
+        return F.struct(k.cast("long").alias("probe"), F.get("base", k).alias("s1"), F.get("other", nearest).alias("s2"))
+
+    rows = pairs.select(*keys, F.explode(F.transform(probes, met)).alias("x"))
+    rows = rows.select(*keys, "x.probe", *[F.col(f"x.s{k}.{x}").alias(f"{x}{k}") for k in (1, 2) for x in _STATE]).where(F.abs(F.col("t1") - F.col("t2")) <= p.max_gap_s)
     rows = rows.where(distance2(F.col("e1"), F.col("n1"), F.col("e2"), F.col("n2")) <= p.max_fine_m)
     score, details = similarity(p)
     return rows.withColumns({"score": score, **details})
@@ -99,7 +106,8 @@ def best_matches(scored: DataFrame) -> DataFrame:
 
 def associate(obs: DataFrame, p: Association = Association()) -> DataFrame:
     """One-to-one associations per pair of sources, best scores first."""
-    best = best_matches(nearest_matches(obs, coarse_candidates(track_summary(obs, p.min_rows), p), p)).where(F.col("score") >= p.suspected)
+    scored = nearest_matches(coarse_candidates(with_reports(track_summary(obs, p.min_rows), obs), p), p)
+    best = best_matches(scored.where(F.col("score") >= p.suspected))  # a probe below it is no pair's best that counts
     taken = greedy_matching(best, ("source_a", "source_b"), "target_id_a", "target_id_b", "score")
     level = F.when(F.col("score") >= p.confirmed, "confirmed").otherwise("suspected")
     return taken.select(F.col("t1").alias("time_sec"), F.col("source_a").alias("src_a"), F.col("target_id_a").alias("tid_a"), F.col("source_b").alias("src_b"), F.col("target_id_b").alias("tid_b"), "score", level.alias("level"), "dist_3d_m", "d_alt_m", "speed_diff_ms", "heading_diff_deg", "time_window_sec")

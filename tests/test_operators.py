@@ -372,6 +372,17 @@ def test_false_alarms_near_tracks_against_plain(spark):
     assert not [x for x in plan if "Aggregate" in x and "target_id" in x and "system_track_id" in x]  # no row for each group and track
 
 
+def test_pairs_of_tracks_are_not_shuffled(spark):
+    rows = [(i, s, r, f"t{k}", 10.0 * j, 100.0 * k, 0.0, 50.0, 10.0, 90.0, 0.0) for i, (s, r, k, j) in enumerate((s, r, k, j) for s, r in (("adsb", 0), ("remote_id", 1)) for k in range(3) for j in range(6))]
+    obs = spark.createDataFrame(rows, "obs_id long, source string, source_rank int, target_id string, time_sec double, e double, n double, u double, speed double, heading double, climb_rate double")
+    found = associate.nearest_matches(associate.coarse_candidates(associate.with_reports(associate.track_summary(obs), obs)))
+    assert found.count() == 27  # three probes of each of nine pairs, at most 200 m apart
+    assert {(r.target_id_a, r.target_id_b, r.probe): r.t1 - r.t2 for r in found.collect()} == {(f"t{a}", f"t{b}", k): 0 for a in range(3) for b in range(3) for k in (0, 3, 5)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Aggregate" not in above and "Window" not in above  # the pairs are not grouped again
+
+
 def test_greedy_takes_no_rounds(spark):
     """A chain of pairs, each better than the next: rounds would take one of it at a time."""
     rows = [("g", f"a{i:02}", f"b{j:02}", 1.0 - (i + j) / 100) for i in range(20) for j in (i, i + 1)]
