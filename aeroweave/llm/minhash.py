@@ -156,7 +156,7 @@ def _arrays(rows: pa.Table) -> tuple[np.ndarray | list[bytes], ...]:
         if name == "sig":
             out.append(np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, COORDS))
         else:
-            out.append(c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy())
+            out.append(c.to_pylist() if pa.types.is_binary(c.type) or pa.types.is_list(c.type) else c.to_numpy())
     return tuple(out)
 
 
@@ -202,16 +202,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns token, cls, n, sig, comp: each list's pairs across components with enough matches."""
-    for token, cls, n, sig, comp in _lists(batches):
+    """Columns token, cls, n, sig, comp, own: each list's pairs across components with enough matches. A pair is
+    given by the first list of both alone, which ``own`` tells, the tokens of a class's lists; null: by each."""
+    for token, cls, n, sig, comp, own in _lists(batches):
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         a, b = [], []
         for s, size in zip(starts, np.diff(np.r_[starts, len(token)]), strict=True):
+            before = [{t for t in o or () if t < token[s]} for o in own[s : s + size]]
             for i in range(s, s + size - 1):
                 rest = np.arange(i + 1, s + size)
                 rest = rest[comp[rest] != comp[i]]
                 if len(rest):
                     rest = rest[((sig[rest] == sig[i]).sum(axis=1) >= MATCHES) & _close(n, rest, i)]
+                    rest = np.array([k for k in rest.tolist() if before[i - s].isdisjoint(before[k - s])], np.int64)
                     a.append(np.full(len(rest), cls[i]))
                     b.append(cls[rest])
         yield from _pair_batch(a, b)
@@ -306,15 +309,16 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=_SETS.names)
 
 
-_SHINGLES = T.StructType([T.StructField("cls", T.LongType()), T.StructField("shingle", T.LongType())])
+_SHINGLES = T.StructType([T.StructField("cls", T.LongType()), T.StructField("token", T.LongType()), T.StructField("n", T.LongType())])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns cls, found: a row for each shingle of the sets."""
+    """Columns cls, found: a row for each shingle of the sets, with the set's size."""
     for part in slices(batches, rows=1024, size=1 << 20):
         sets = [np.frombuffer(f, np.int64) for f in part.column(1).to_pylist()]
-        cls = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets))], names=_SHINGLES.names)
+        sizes = np.array([len(x) for x in sets], np.int64)
+        cls = np.repeat(part.column(0).to_numpy(), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets)), pa.array(np.repeat(sizes, sizes))], names=_SHINGLES.names)
 
 
 def _by_list(rows: DataFrame, key: str, work: Callable, shape: T.StructType) -> DataFrame:
@@ -365,6 +369,11 @@ class Join:
         lists = cut(rows.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("weight", "cls")).alias("head")).where("size > 1"), "lists")
         return cut(rows.join(lists, "token").select("token", "size", F.col("head.cls").alias("head"), "cls"), "members")
 
+    def listed(self, rows: DataFrame, *extra: str) -> DataFrame:
+        """The members of lists with n, sig and ``own``, all tokens of the class; a class meets its signature once."""
+        own = rows.groupBy("cls", *extra).agg(F.sort_array(F.collect_list("token")).alias("own"))
+        return own.join(self.classes.select("cls", "n", "sig"), "cls").select(F.explode("own").alias("token"), "cls", "n", "sig", *extra, "own")
+
     def stars(self, members: DataFrame) -> DataFrame:
         """Candidate pairs of heads with members; columns head, cls."""
         rows = members.where(F.col("cls") != F.col("head")).select("head", "cls").distinct().join(self.classes.select("cls", "n", "sig"), "cls")
@@ -373,7 +382,7 @@ class Join:
 
     def first_round(self, members: DataFrame) -> DataFrame:
         """Candidate pairs: spanning forests of short lists, stars of long ones."""
-        short = members.where(F.col("size") <= LONG_LIST).join(self.classes.select("cls", "n", "sig"), "cls")
+        short = self.listed(members.where(F.col("size") <= LONG_LIST))
         forests = _by_list(short.select("token", "cls", "n", "sig"), "token", _forest, _PAIRS)
         return forests.unionByName(self.stars(members.where(F.col("size") > LONG_LIST)))
 
@@ -384,17 +393,18 @@ class Join:
         lists = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
         return cut(named.join(lists, "token"), "mixed")
 
-    def across(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs across components in short lists."""
-        with_sig = rows.join(self.classes.select("cls", "n", "sig"), "cls")
-        return _by_list(with_sig.select("token", "cls", "n", "sig", "comp"), "token", _across, _PAIRS)
+    def across(self, rows: DataFrame, once: bool = True) -> DataFrame:
+        """Candidate pairs across components in short lists; ``once``: each by one list only, for which every
+        member carries all tokens of its class, so there must be few."""
+        own = F.col("own") if once else F.lit(None).cast("array<bigint>")
+        return _by_list(self.listed(rows, "comp").select("token", "cls", "n", "sig", "comp", own.alias("own")), "token", _across, _PAIRS)
 
     def rare_lists(self, rows: DataFrame) -> DataFrame:
         """token, size, head, cls: the classes in column cls, listed under the rarest quarter of their sets."""
         sets = self.sets(rows)
-        every = sets.mapInArrow(_shingle_rows, _SHINGLES).join(sets.select("cls", (F.length("found") / 8).cast("long").alias("n")), "cls")
+        every = sets.mapInArrow(_shingle_rows, _SHINGLES)
         # of two sets linked, the union holds the larger one: they share PERCENT of its size or more
-        rows = _prefixes(every.withColumnRenamed("shingle", "token"), "token", F.expr(f"({PERCENT} * n + 99) div 100"), ("n",))
+        rows = _prefixes(every, "token", F.expr(f"({PERCENT} * n + 99) div 100"), ("n",))
         lists = cut(rows.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("weight", "cls")).alias("head")).where("size > 1"), "rare-lists")
         return cut(rows.join(lists, "token").select("token", "size", F.col("head.cls").alias("head"), "cls"), "rare-members")
 
@@ -440,7 +450,7 @@ class Join:
             add(self.confirmed(pairs))
             return links, comps
         rare = self.mixed(self.rare_lists(long), comps)
-        pairs = pairs.unionByName(self.across(rare.where(F.col("size") <= LONG_LIST)))
+        pairs = pairs.unionByName(self.across(rare.where(F.col("size") <= LONG_LIST), once=False))
         pairs = pairs.unionByName(self.stars(rare.where(F.col("size") > LONG_LIST)))
         add(self.confirmed(pairs.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")))
         left = self.mixed(rare.where(F.col("size") > LONG_LIST).drop("comp"), comps)

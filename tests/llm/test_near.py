@@ -59,6 +59,17 @@ def test_hot_list(spark):
     check(spark.createDataFrame(rows, H.SHAPE))
 
 
+def test_pairs_of_lists_once(spark):
+    """Two classes of different components that meet in 20 lists are one candidate, not 20."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*base[:150], *[f"own{k}_{i}" for i in range(30)]]), "x", "s", 0, *["?"] * 11) for k in range(6)]
+    join = minhash.Join(spark.createDataFrame(rows, H.SHAPE))
+    tokens = join.classes.selectExpr("cls", "cls as comp", "explode(sequence(1L, 20L)) as token")
+    found = [tuple(r) for r in join.across(tokens).collect()]
+    assert len(found) == len(set(found)) == 15
+    assert {tuple(r) for r in join.across(tokens, once=False).collect()} == set(found)
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(H.none(spark)).count() == linededup.deduplicated(H.none(spark)).count() == 0
 
