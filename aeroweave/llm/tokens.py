@@ -27,7 +27,7 @@ LONG_CHUNK = 64
 #: but for a last space that belongs to the next word.
 _CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\x00-\x7f]|\Z)| ?\S+|\s+(?!\S)|\s")
 #: White space to Python only, not to the tokenizer: such texts are encoded at once.
-_ODD = re.compile(r"[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 _loaded: dict[str, "ChunkEncoder"] = {}
 operator_caches[OPERATOR] = _loaded.clear
@@ -47,6 +47,22 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Ids by chunk; asked for a chunk that it lacks, it learns it."""
+
+    def __init__(self, encoder: "ChunkEncoder"):
+        self.encoder = encoder
+
+    def __missing__(self, c: str) -> bytes:
+        known = self.encoder.old.get(c)
+        if known is None:
+            known = self.encoder.chunk(c)
+            if len(c) > LONG_CHUNK:
+                self.encoder.long.append(c)
+        self[c] = known
+        return known
+
+
 class ChunkEncoder:
     """Keeps two generations of known chunks: when the young one is full it becomes the old one, and what is
     met again moves back to the young one, so that frequent words stay."""
@@ -56,14 +72,16 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # texts that hold the string of an added token, like those with odd white space, are encoded at once
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_ODD.pattern, *added]))
+        self.whole = [*_ODD, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype("<u2") if small else np.dtype("<u4")
         self.code = "H" if small else "I"
         self.byte_names = _byte_names()
-        self.young: dict[str, bytes] = {}
+        self.space = self.byte_names[0x20]
+        self.merge = self.tokenizer.model.tokenize
+        self.young = _Known(self)
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -71,46 +89,34 @@ class ChunkEncoder:
             packed.byteswap()
         return packed.tobytes()
 
-    def learn(self, chunks: set[str]) -> list[str]:
-        """Make the ids of these chunks known; the ones that were not."""
-        if len(self.young) > CACHE_CHUNKS:
-            self.old, self.young = self.young, {}
-        fresh = chunks.difference(self.young)
-        again = fresh.intersection(self.old)
-        self.young.update((c, self.old[c]) for c in again)
-        new = list(fresh.difference(again))
-        if new:
-            words = [c for c in new if c[-1].isalpha() and c.lstrip(" ").isalpha() and (c.isascii() or max(c) < "ɐ")]
-            if words:
-                self.young.update(zip(words, self._merged(words), strict=True))
-                rest = [c for c in new if c not in self.young]
-            else:
-                rest = new
-            if rest:
-                found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-                self.young.update(zip(rest, [self.pack(e.ids) for e in found], strict=True))
-        return new
-
-    def _merged(self, words: list[str]) -> list[bytes]:
-        """A word of letters, with or without a space before it, is one piece: the library's merges apply to
-        its bytes at once, without the steps that keep track of places in the text."""
-        merge, pack, to = self.tokenizer.model.tokenize, self.pack, self.byte_names
-        return [pack([t.id for t in merge(c.encode().decode("latin-1").translate(to))]) for c in words]
+    def chunk(self, c: str) -> bytes:
+        """The ids of one chunk. A word of letters, with or without a space before it, is one piece: the library's
+        merges apply to its bytes at once, without the steps that keep track of places in the text."""
+        if c.isascii():
+            spaced = c[0] == " "
+            name = c[1:] if spaced else c
+            if not name.isalpha():
+                name = ""
+            elif spaced:
+                name = self.space + name
+        else:
+            name = c.encode().decode("latin-1").translate(self.byte_names) if c.lstrip(" ").isalpha() and max(c) < "ɐ" else ""
+        if name:
+            return self.pack([t.id for t in self.merge(name)])
+        return self.pack(self.tokenizer.encode_batch_fast([c], add_special_tokens=False)[0].ids)
 
     def encode(self, texts: Iterable[str | None], end: int | None = END_ID) -> list[bytes]:
         """The ids of each text (null: empty) in little-endian bytes of ``dtype``, then the end id."""
         tail = b"" if end is None else self.pack([end])
-        parts: list[list[str]] = []
+        if len(self.young) > CACHE_CHUNKS:
+            self.old, self.young = self.young, _Known(self)
+        known, out = self.young.__getitem__, []
         for text in texts:
-            if text and self.whole.search(text):
-                parts.append([text])
-            else:
-                parts.append(_CHUNK.findall(text or ""))
-        new = self.learn(set().union(*parts))
-        out = [b"".join(map(self.young.__getitem__, p)) + tail for p in parts]
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                del self.young[c]
+            parts = [text] if text and any(odd in text for odd in self.whole) else _CHUNK.findall(text or "")
+            out.append(b"".join(map(known, parts)) + tail)
+        for c in self.long:  # kept for these texts only
+            del self.young[c]
+        self.long.clear()
         return out
 
 

@@ -88,3 +88,17 @@ def test_lookup():
 def test_registered_queries(spark):
     rows = queries.op6_concat_and_cut(spark, H.SF)
     assert rows.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_chunks_are_learned_on_lookup(monkeypatch):
+    """The ids are the library's across generations of the cache, and long chunks are kept for one call only."""
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 20)
+    encoder = tokens.ChunkEncoder(tokens.tokenizer_path())
+    odd = ["", " ", "\n\n", "a\x1cb", " déjà", "слово ", "x" * 100, "it's 12,5%  ", "<|endoftext|> a", "über　Straße", "ɐb"]
+    texts = [*odd, " ".join(f"word{k} w" + "abcdefgh"[k % 8] * (k % 5) for k in range(60)), *odd]
+    for _ in range(3):
+        for text in texts:
+            want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+            assert encoder.encode([text], None) == [encoder.pack(want)], text
+    assert "x" * 100 not in encoder.young and "x" * 100 not in encoder.old
+    assert encoder.young["newword"] == encoder.pack(encoder.tokenizer.encode("newword", add_special_tokens=False).ids)
