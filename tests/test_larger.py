@@ -1,4 +1,4 @@
-"""Queries on tables that the given ones are too small for: wide identifiers, against DuckDB SQL."""
+"""Queries on tables that the given ones are too small for: wide identifiers, early times, against DuckDB SQL."""
 
 import duckdb
 import pytest
@@ -30,3 +30,25 @@ def test_users_of_five_digits(spark, wide, name):
     assert len(got) == len(want) > 0
     bad = [(g, w) for g, w in zip(got, want, strict=True) if not all(map(same, g, w))]
     assert not bad, bad[:3]
+
+
+@pytest.fixture(scope="module")
+def early(tmp_path_factory):
+    """The smallest events half a month earlier: before and after the time that seconds are counted from."""
+    path = tmp_path_factory.mktemp("early")
+    rows_of = f"select * replace (ts - interval 15 days as ts) from read_parquet('{DATA}/events.parquet')"
+    duckdb.connect().execute(f"copy ({rows_of}) to '{path}/events.parquet' (format parquet)")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ("classify_tracks", "outlier_rejection", "temporal_flow", "wls_fused_tracks"))
+def test_times_before_the_first_second(spark, early, name):
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{early}/events.parquet')")
+    df = QUERIES[name](spark, early)
+    got = rows(df.columns, df.collect())
+    cursor = con.execute(SQL[name])
+    want = rows([c[0] for c in cursor.description], cursor.fetchall())
+    assert len(got) == len(want) > 0
+    bad = [(g, w) for g, w in zip(got, want, strict=True) if not all(map(same, g, w))]
+    assert not bad, bad[:3]
