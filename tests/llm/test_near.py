@@ -175,3 +175,21 @@ def test_short_lines(spark):
     assert {r["doc_id"]: r["clean"] for r in linededup.deduplicated(docs, exact=1).collect()} == want
     assert {r["doc_id"]: r["text_crc32"] for r in linededup.report(docs).collect()} == {i: zlib.crc32(t.encode()) for i, t in want.items()}
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, H.SF).collect()} == want
+
+
+def test_components_in_one_task(spark, monkeypatch):
+    """Few edges are united by one task, without rounds; both ways give the same."""
+    import random
+
+    draw = random.Random(3)
+    edges = [(draw.randrange(-500, 500), draw.randrange(-500, 500)) for _ in range(450)]
+    rows = spark.createDataFrame([*edges, (7, 7), (-(2**62), 2**62)], "a long, b long")
+    written = []
+    cut = components.cut
+    monkeypatch.setattr(components, "cut", lambda df, tag: written.append(tag) or cut(df, tag))
+    few = sorted(map(tuple, components.components(rows).collect()))
+    assert written == ["edges"]
+    monkeypatch.setattr(components, "IN_ONE_TASK", 0)
+    assert sorted(map(tuple, components.components(rows).collect())) == few
+    chain = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    assert dict(components.components(chain).collect()) == dict.fromkeys(range(301), 0)
