@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, cut, slices
+from .common import columns, cut, passing, slices
 from .components import components
 
 EDITS = 2
@@ -433,9 +433,10 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     goes only as an exact repeat, one of fewer than ``exact`` and ``least`` never; with 1 all lines but blank ones take part. Repeated rows
     are alike. Columns of the same names as the added ones are replaced. An empty table gives no rows.
     """
-    gone = LineJoin(docs, edits, least, exact).decisions().where("not keep")
-    gone = gone.groupBy(F.col("doc_id").alias("__gone"), F.col("unit").alias("__unit")).agg(F.array_sort(F.collect_set("line")).alias("__lines"), F.array_sort(F.collect_set("class_doc")).alias("copies_of"))
-    gone = cut(gone, "removed-lines")  # per document: its own lines
+    with passing(docs.sparkSession):
+        gone = LineJoin(docs, edits, least, exact).decisions().where("not keep")
+        gone = gone.groupBy(F.col("doc_id").alias("__gone"), F.col("unit").alias("__unit")).agg(F.array_sort(F.collect_set("line")).alias("__lines"), F.array_sort(F.collect_set("class_doc")).alias("copies_of"))
+        gone = cut(gone, "removed-lines", keep=True)  # per document: its own lines
     names = [n for n in docs.columns if n.lower() not in ("clean", "n_lines", "n_removed", "copies_of")]
     own = {n.lower(): n for n in docs.columns}
     key = F.col(f"`{own['doc_id']}`").cast("long") if "doc_id" in own else F.lit(None).cast("long")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, columns, cut, slices, small, task_caches
+from .common import as_bytes, columns, cut, passing, slices, small, task_caches
 from .components import components
 
 SHINGLE = 5
@@ -493,10 +493,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their component, by doc_id (null last); a repeated
     row once. Rows without words, a missing column text included, are linked with nothing and all stay."""
-    named = _named(docs).where("cls is not null")
-    mine = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("unit") == F.col("top.unit"))
-    kept = named.where(mine).groupBy(F.col("doc_id").alias("__id"), F.col("unit").alias("__unit")).agg(F.count("*").alias("__times"))
-    kept = cut(kept, "kept")
+    with passing(docs.sparkSession):
+        named = _named(docs).where("cls is not null")
+        mine = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("unit") == F.col("top.unit"))
+        kept = named.where(mine).groupBy(F.col("doc_id").alias("__id"), F.col("unit").alias("__unit")).agg(F.count("*").alias("__times"))
+        kept = cut(kept, "kept", keep=True)
     own = {c.lower(): c for c in docs.columns}
     key, text = (F.col(f"`{own[c]}`").cast(t) if c in own else F.lit(None).cast(t) for c, t in (("doc_id", "long"), ("text", "string")))
     rows = docs.join(small(kept), key.eqNullSafe(F.col("__id")) & (unit_key(text) == F.col("__unit")), "left")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, cut
+from .common import columns, cut, passing, small
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -193,8 +193,10 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """The mixed documents themselves: all columns of ``docs``, each row as often as it has copies."""
     need = columns(docs, doc_id=T.LongType(), source=T.StringType(), text=T.StringType())
-    copies = decided(docs, weights, most, seed).where("copies > 0").groupBy(F.col("unit").alias("__taken")).agg(F.max("copies").alias("__copies"))
+    with passing(docs.sparkSession):
+        copies = decided(docs, weights, most, seed).where("copies > 0").groupBy(F.col("unit").alias("__taken")).agg(F.max("copies").alias("__copies"))
+        copies = cut(copies, "copies", keep=True)  # two numbers a document: the texts move only where these are many
     names = docs.columns
     keyed = docs.withColumn("__unit", F.xxhash64(*[F.col(f"`{c}`").cast(t.dataType) for c, t in zip(("doc_id", "source", "text"), need.schema.fields, strict=True)]))
-    joined = keyed.join(copies, F.col("__unit") == F.col("__taken"))
+    joined = keyed.join(small(copies), F.col("__unit") == F.col("__taken"))
     return joined.withColumn("__again", F.explode(F.expr("sequence(1L, __copies)"))).select(*[F.col(f"`{n}`") for n in names])

@@ -4,6 +4,8 @@ import corpus_pipeline
 import helpers as H
 import pytest
 
+from aeroweave.llm import common
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -32,3 +34,19 @@ def test_stages(spark):
 def test_awkward_rows(spark, stage):
     assert stage(spark, H.documents(spark), H.SF).count() > 0
     assert stage(spark, H.none(spark), H.SF).count() == 0
+
+
+@pytest.mark.parametrize("name, left", [("line_dedup", ["removed-lines"]), ("near_duplicates", ["kept"]), ("mixing", ["copies"])])
+def test_tables_in_passing_go(spark, tmp_path, monkeypatch, name, left):
+    """A stage leaves only the table that its result reads, and its texts are joined without a shuffle while that is small."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs = spark.read.parquet(f"{H.SF}/documents.parquet")
+    after = dict(corpus_pipeline.STAGES)[name](spark, docs, H.SF)
+    assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == left
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in after._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert after.count() > 0
