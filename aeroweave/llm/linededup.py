@@ -21,7 +21,6 @@ in all. Rows of one doc_id, or of none, with different texts are documents of th
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, cut, passing, slices
+from .common import columns, cut, passing, slices, task_caches
 from .components import components
 
 EDITS = 2
@@ -44,6 +43,7 @@ SEEN_LINES = 300_000
 BROADCAST_ROWS = 500_000
 FIELDS = 31
 BANDS = 5
+POWERS = 1 << 20
 _PROBE = 1 << 62
 _FIELD = np.uint64(1) << (np.uint64(2) * np.arange(FIELDS, dtype=np.uint64))
 _LOW = np.uint64(int("01" * FIELDS, 2))
@@ -57,13 +57,10 @@ def long_lines(text: str | None, least: int = LEAST_CHARS) -> list[tuple[int, st
     return [(i, s) for i, line in enumerate(text.split("\n")) if len(line) >= least and len(s := line.strip(" \t\r\x0b\x0c")) >= least]
 
 
-def line_hash(data: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(data)
-    return _signed(h >> 64), _signed(h & ((1 << 64) - 1))
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """Two signed words for each line."""
+    found = b"".join([xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in lines])
+    return np.frombuffer(found, ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -147,87 +144,172 @@ _MET = T.StructType([T.StructField("kind", T.IntegerType()), *_POSTS.fields])
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _key(data: bytes, begin: int, end: int, length: int, segment: int) -> int:
-    return xxhash.xxh3_64_intdigest(data[4 * begin : 4 * end], length * 16 + segment)
+_BASE = 0x9E3779B97F4A7C15
+_ODD = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+
+
+def _mixed(x: np.ndarray, salt: int | np.ndarray = 0) -> np.ndarray:
+    x = x ^ (np.asarray(salt, np.uint64) * _ODD[2])
+    x ^= x >> np.uint64(30)
+    x *= _ODD[0]
+    x ^= x >> np.uint64(27)
+    x *= _ODD[1]
+    x ^= x >> np.uint64(31)
+    return x
+
+
+_powers: dict[int, np.ndarray] = {}
+task_caches.append(_powers)
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2**64; those of ordinary slices are kept."""
+    found = _powers.get(base)
+    if found is None or len(found) < n:
+        found = np.full(max(n, POWERS), base, np.uint64)
+        found[0] = 1
+        np.multiply.accumulate(found, out=found)
+        if n <= POWERS:
+            _powers[base] = found
+    return found[:n]
+
+
+class _Keys:
+    """Keys of substrings of many lines at once: differences of running sums of a polynomial modulo 2**64,
+    whose odd base has an inverse that makes them the same wherever the substring stands."""
+
+    def __init__(self, lines: list[str], edits: int):
+        self.edits = edits
+        self.chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.size = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.start = np.cumsum(self.size) - self.size
+        self.sums = np.zeros(len(self.chars) + 1, np.uint64)
+        np.multiply(self.chars, _powers_of(_BASE, len(self.chars)), out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
+        self.back = _powers_of(pow(_BASE, -1, 1 << 64), len(self.chars) + 1)
+
+    def segment(self, k: int, shorter: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of segment ``k`` of lines ``shorter`` characters shorter, as in ``segments``."""
+        parts = self.edits + 1
+        size, longer = np.divmod(np.maximum(self.size - shorter, 0), parts)
+        begin = k * size + np.maximum(0, k - (parts - longer))
+        return begin, begin + size + (k >= parts - longer)
+
+    def key(self, begin: np.ndarray, end: np.ndarray, of: np.ndarray, k: int, shorter: int = 0) -> np.ndarray:
+        """Of the substrings of lines ``of``, as segment ``k`` of lines ``shorter`` characters shorter."""
+        begin, end = self.start[of] + begin, self.start[of] + end
+        found = (self.sums[end] - self.sums[begin]) * self.back[begin]
+        return _mixed(found, (self.size[of] - shorter) * 16 + k)
+
+    def own(self) -> list[np.ndarray]:
+        every = np.arange(len(self.size))
+        return [self.key(*self.segment(k), every, k) for k in range(self.edits + 1)]
+
+    def posts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, line, whether it is not a segment of the line's own) under which the lines are posted."""
+        every, own = np.arange(len(self.size)), self.own()
+        keys, lines, probes = list(own), [every] * len(own), [np.zeros(len(every), bool)] * len(own)
+        for shorter in range(self.edits + 1):
+            for k in range(self.edits + 1):
+                a, b = self.segment(k, shorter)
+                for shift in range(max(-k, shorter - (self.edits - k)), min(k, shorter + (self.edits - k)) + 1):
+                    if not shorter and not shift:
+                        continue  # its own
+                    of = np.flatnonzero((self.size > shorter) & (a + shift >= 0) & (b + shift <= self.size))
+                    key = self.key(a[of] + shift, b[of] + shift, of, k, shorter)
+                    if not shorter:
+                        new = key != own[k][of]
+                        key, of = key[new], of[new]
+                    keys.append(key)
+                    lines.append(of)
+                    probes.append(np.ones(len(of), bool))
+        return np.concatenate(keys), np.concatenate(lines), np.concatenate(probes)
+
+    def sketches(self) -> np.ndarray:
+        owner = np.repeat(np.arange(len(self.size)) * FIELDS, self.size)
+        counts = np.bincount(owner + self.chars % FIELDS, minlength=len(self.size) * FIELDS).reshape(-1, FIELDS)
+        return ((counts.astype(np.uint64) & np.uint64(3)) * _FIELD).sum(axis=1, dtype=np.uint64)
+
+
+class _Often:
+    """Keys and how often they were met; beyond ``10 * COUNTED_KEYS`` only the most frequent are counted on."""
+
+    def __init__(self):
+        self.keys, self.times, self.waiting, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def add(self, keys: list[np.ndarray]) -> None:
+        self.waiting += keys
+        self.n += sum(map(len, keys))
+        if self.n > 20 * COUNTED_KEYS:
+            self.sum_up()
+
+    def sum_up(self) -> None:
+        found, times = np.unique(np.concatenate([*self.waiting, self.keys[:0]]), return_counts=True)
+        self.waiting, self.n = [], 0
+        if len(self.keys):
+            found, place = np.unique(np.concatenate([self.keys, found]), return_inverse=True)
+            both = np.zeros(len(found), np.int64)
+            np.add.at(both, place, np.concatenate([self.times, times]))
+            times = both
+        if len(found) > 10 * COUNTED_KEYS:
+            most = np.argpartition(times, len(times) - COUNTED_KEYS)[-COUNTED_KEYS:]
+            found, times = found[most], times[most]
+        self.keys, self.times = found, times
 
 
 def _read_lines(edits: int, least: int, exact: int):
     """Rows (0, h1, h2, doc_id, line, unit) of lines, and (1, key, count, nulls) of keys that a task met often."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[int] = Counter()
+        often = _Often()
         for part in slices(batches):
-            h1, h2, doc, number, units = [], [], [], [], []
-            for doc_id, text, unit in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            row, number, lines = [], [], []
+            for r, text in enumerate(part.column(1).to_pylist()):
                 for i, line in long_lines(text, min(least, exact)):
-                    data = line.encode("utf-32-le", "surrogatepass")
-                    a, b = line_hash(data)
-                    h1.append(a)
-                    h2.append(b)
-                    doc.append(doc_id)
+                    row.append(r)
                     number.append(i)
-                    units.append(unit)
-                    size = len(line)
-                    if size < least:
-                        continue
-                    counts.update([_key(data, x, y, size, k) for k, (x, y) in enumerate(segments(size, edits))])
-            if len(counts) > 10 * COUNTED_KEYS:
-                counts = Counter(dict(counts.most_common(COUNTED_KEYS)))
-            if h1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h1), np.int32)), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(units, pa.int64())], names=_LINES.names)
-        often = [(k, n) for k, n in counts.items() if n >= 8]
-        if often:
-            keys, n = zip(*often, strict=True)
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(n, pa.int64()), none, none.cast(pa.int32()), none], names=_LINES.names)
+                    lines.append(line)
+            if not lines:
+                continue
+            often.add(_Keys([line for line in lines if len(line) >= least], edits).own())
+            names, rows = line_hashes(lines), pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(lines), np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), part.column(0).take(rows), pa.array(number, pa.int32()), part.column(2).take(rows)], names=_LINES.names)
+        often.sum_up()
+        met = often.times >= 8
+        if met.any():
+            none = pa.nulls(int(met.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(none), np.int32)), pa.array(often.keys[met].view(np.int64)), pa.array(often.times[met]), none, none.cast(pa.int32()), none], names=_LINES.names)
 
     return work
 
 
-def sketches(data: list[bytes]) -> np.ndarray:
-    sizes = np.array([len(d) // 4 for d in data])
-    chars = np.frombuffer(b"".join(data), "<u4") % FIELDS
-    owner = np.repeat(np.arange(len(data)) * FIELDS, sizes)
-    counts = np.bincount(owner + chars, minlength=len(data) * FIELDS).reshape(-1, FIELDS)
-    return ((counts.astype(np.uint64) & np.uint64(3)) * _FIELD).sum(axis=1, dtype=np.uint64)
-
-
-def _post(edits: int, least: int, frequent: frozenset[int]):
-    def bands(key: int, sketch: int) -> list[int]:
-        return [xxhash.xxh3_64_intdigest((key & ((1 << 64) - 1)).to_bytes(8, "little") + (sketch & bits).to_bytes(8, "little"), b + 1) for b, bits in enumerate(_BAND_BITS)]
+def _post(edits: int, least: int, frequent: np.ndarray):
+    """``frequent``: sorted keys that are posted in bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posted: set[int] = set()
         for part in slices(batches):
-            data, size, names = [], [], []
-            for text in part.column(0).to_pylist():
-                for _, line in long_lines(text, least):
-                    raw = line.encode("utf-32-le", "surrogatepass")
-                    h = line_hash(raw)[0]
-                    if h not in posted:
-                        posted.add(h)
-                        data.append(raw)
-                        size.append(len(line))
-                        names.append(h)
+            lines = [line for text in part.column(0).to_pylist() for _, line in long_lines(text, least)]
+            names, new = line_hashes(lines)[:, 0], []
+            for k, h in enumerate(names.tolist()):
+                if h not in posted:
+                    posted.add(h)
+                    new.append(k)
             if len(posted) > SEEN_LINES:
                 posted.clear()
-            if not data:
+            if not new:
                 continue
-            keys, h1, sketch = [], [], []
-            for raw, n, h, s in zip(data, size, names, sketches(data).tolist(), strict=True):
-                own = [_key(raw, a, b, n, k) for k, (a, b) in enumerate(segments(n, edits))]
-                out = [(k, s) for k in own]
-                for other in range(max(1, n - edits), n + 1):
-                    for k, a, b in windows(n, other, edits):
-                        key = _key(raw, a, b, other, k)
-                        if other < n or key != own[k]:
-                            out.append((key, s | _PROBE))
-                for key, mark in out:
-                    for final in bands(key, s) if key in frequent else (key,):
-                        keys.append(final)
-                        h1.append(h)
-                        sketch.append(mark)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(h1, pa.int64()), pa.array(sketch, pa.int64())], names=_POSTS.names)
+            text = _Keys([lines[k] for k in new], edits)
+            key, of, probe = text.posts()
+            names, sketch = names[new][of], text.sketches()[of]
+            mark = sketch | np.where(probe, np.uint64(_PROBE), np.uint64(0))
+            if len(frequent):
+                banded = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
+                if banded.any():
+                    bands = [_mixed(_mixed(key[banded], b + 1) ^ (sketch[banded] & np.uint64(bits))) for b, bits in enumerate(_BAND_BITS)]
+                    key = np.concatenate([key[~banded], *bands])
+                    names, mark = (np.concatenate([x[~banded], *[x[banded]] * BANDS]) for x in (names, mark))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(names), pa.array(mark.view(np.int64))], names=_POSTS.names)
 
     return work
 
@@ -315,8 +397,8 @@ def _wanted_lines(least: int):
             h1, out = [], []
             for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 wanted = set(wanted)
-                for _, line in long_lines(text, least):
-                    h = line_hash(line.encode("utf-32-le", "surrogatepass"))[0]
+                lines = [line for _, line in long_lines(text, least)]
+                for line, h in zip(lines, line_hashes(lines)[:, 0].tolist(), strict=True):
                     if h in wanted:
                         wanted.discard(h)
                         h1.append(h)
@@ -354,7 +436,7 @@ class LineJoin:
         read = cut(self.docs.mapInArrow(_read_lines(edits, least, exact), _LINES), "lines")
         self.lines = read.where("kind = 0").drop("kind")
         often = read.where("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc()).limit(COUNTED_KEYS)
-        self.frequent = frozenset(r["h1"] & ((1 << 64) - 1) for r in often.collect())  # at most COUNTED_KEYS numbers
+        self.frequent = np.sort(np.array([r["h1"] for r in often.collect()], np.int64).view(np.uint64))  # at most COUNTED_KEYS numbers
         order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line", "unit")
         self.firsts = cut(self.lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("times")), "line-classes")
 
