@@ -493,13 +493,13 @@ class LineJoin:
         return self._close(met.where("one != two")).distinct()
 
     def decisions(self) -> DataFrame:
-        """doc_id, unit, line, keep, class_doc for every line that takes part."""
+        """doc_id, unit, line, keep, class_doc for every line that has a copy or a near copy; others stay."""
         _, comps = self.links()
-        named = self.firsts.join(comps.withColumnRenamed("id", "h1"), "h1", "left").select("h1", "h2", "first", F.coalesce("component", "h1").alias("class"))
-        named = cut(named, "line-names")
+        named = self.firsts.join(comps.withColumnRenamed("id", "h1"), "h1", "left").where((F.col("times") > 1) | F.col("component").isNotNull())
+        named = cut(named.select("h1", "h2", "first", F.coalesce("component", "h1").alias("class")), "line-names")
         least = cut(named.groupBy("class").agg(F.min("first").alias("top")), "class-firsts")
         by_line = cut(named.join(least, "class").select("h1", "h2", "top"), "line-tops")
-        rows = self.lines.join(by_line, ["h1", "h2"])
+        rows = self.lines.join(_small(by_line), ["h1", "h2"])
         keep = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("line") == F.col("top.line")) & (F.col("unit") == F.col("top.unit"))
         return rows.select("doc_id", "unit", "line", keep.alias("keep"), F.col("top.doc_id").alias("class_doc"))
 
@@ -531,7 +531,7 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     return joined.select(
         *[F.col(f"`{n}`") for n in names],
         clean.alias("clean"),
-        F.when(text.isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.when(text.isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.size(lines).cast("long").alias("n_removed"),
         F.coalesce("copies_of", F.array().cast("array<bigint>")).alias("copies_of"),
     )

@@ -274,3 +274,15 @@ def test_posting_is_cheap():
         return took / ((time.process_time() - began) * 10)
 
     assert min(once() for _ in range(3)) / (sum(map(len, texts)) / 1e9) < 150
+
+
+def test_single_lines_are_not_joined(spark):
+    """Only lines with copies or near copies are decided on; every text's lines are counted all the same."""
+    texts = {1: f"{H.LINE}\n\nalone one", 2: f"{H.LINE}\r\ntwo", 3: H.LINE.replace("lazy", "lazi") + "\n", 4: "", 5: None, 6: "\n\n", 7: "grüße\n你好 \U0001f600 " * 20}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    decided = linededup.LineJoin(docs, exact=1).decisions().select("doc_id", "line", "keep").collect()
+    lines = [(2, 0, False), (1, 0, True), (3, 0, False), *[(7, k, k == 1) for k in range(1, 20)]]
+    assert sorted(map(tuple, decided)) == sorted(lines)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in linededup.report(docs).collect()}
+    gone = [i for i, _, keep in lines if not keep]
+    assert got == {i: (0 if t is None else len(t.split("\n")), gone.count(i)) for i, t in texts.items()}
