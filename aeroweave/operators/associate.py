@@ -9,6 +9,7 @@ from ..config import Association, Maintenance
 from ..functions.geo import distance2, heading_of, turn_between
 from .align import TRACK
 from .graph import greedy_matching
+from .pairs import pairs_met, reported, states_met
 
 
 def track_summary(obs: DataFrame, least: int = 5) -> DataFrame:
@@ -106,9 +107,11 @@ def best_matches(scored: DataFrame) -> DataFrame:
 
 def associate(obs: DataFrame, p: Association = Association()) -> DataFrame:
     """One-to-one associations per pair of sources, best scores first."""
-    scored = nearest_matches(coarse_candidates(with_reports(track_summary(obs, p.min_rows), obs), p), p)
-    best = best_matches(scored.where(F.col("score") >= p.suspected))  # a probe below it is no pair's best that counts
+    tracks = reported(obs, p.min_rows)
+    best = pairs_met(tracks, p, p.suspected)  # a probe below it is no pair's best that counts
     taken = greedy_matching(best, ("source_a", "source_b"), "target_id_a", "target_id_b", "score")
+    taken = states_met(taken, tracks)
+    taken = taken.withColumns(similarity(p)[1])
     level = F.when(F.col("score") >= p.confirmed, "confirmed").otherwise("suspected")
     return taken.select(F.col("t1").alias("time_sec"), F.col("source_a").alias("src_a"), F.col("target_id_a").alias("tid_a"), F.col("source_b").alias("src_b"), F.col("target_id_b").alias("tid_b"), "score", level.alias("level"), "dist_3d_m", "d_alt_m", "speed_diff_ms", "heading_diff_deg", "time_window_sec")
 

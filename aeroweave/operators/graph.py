@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BAND = 1 << 20  # pairs of the first band of a greedy matching
+SMALL = 500_000  # rows that are broadcast
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all share; a temporary one only where a local session names none."""
@@ -82,10 +85,16 @@ def greedy_matching(pairs: DataFrame, group: tuple[str, ...], left: str, right:
     """Rows accepted in order of score (then left, right), each side at most once in its group.
 
     Sequential by nature: each group's pairs stream in order through one task, which holds the ids taken so far.
+    Many pairs go in bands, best scores first: the best ``BAND`` of all groups, then up to eight times as many and so
+    on. A later band leaves out, before it is sorted, the pairs of ids that were taken, which are most of it.
     Only ids and scores take this way; the rows are joined to what is accepted.
     """
     names = (*group, left, right)
     pairs = cut(pairs)
+    total, bounds = pairs.count(), []
+    while BAND * 8 ** len(bounds) < total:
+        bounds.append(1 - BAND * 8 ** len(bounds) / total)
+    bounds = sorted(set(pairs.approxQuantile(score, bounds, 0.001)), reverse=True) if bounds else []
     shape = pairs.select(*names, score).schema
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +112,22 @@ def greedy_matching(pairs: DataFrame, group: tuple[str, ...], left: str, right:
             if keep:
                 yield batch.take(pa.array(keep))
 
-    ordered = pairs.select(*names, score).repartition(*group).sortWithinPartitions(*group, F.col(score).desc(), left, right)
-    taken = cut(ordered.mapInArrow(accept, shape))
-    return pairs.join(taken, [*names, score], "left_semi")
+    taken = None
+    for low, high in zip([*bounds, None], [None, *bounds]):
+        band = pairs.select(*names, score)
+        # a null or NaN score is below or above all numbers, as in the order of the sort
+        if low is not None:
+            band = band.where(F.col(score) >= low)
+        if high is not None:
+            band = band.where((F.col(score) < high) | F.col(score).isNull())
+            for side in (left, right):
+                band = band.join(small(taken.select(*group, side)), [*group, side], "left_anti")
+        ordered = band.select(*names, score).repartition(*group).sortWithinPartitions(*group, F.col(score).desc(), left, right)
+        found = cut(ordered.mapInArrow(accept, shape))
+        taken = found if taken is None else taken.unionByName(found)
+    return pairs.join(small(taken), [*names, score], "left_semi")
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """Rows already written, to be broadcast where they are few enough."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
