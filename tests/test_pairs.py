@@ -65,3 +65,15 @@ def test_greedy_in_bands(spark, monkeypatch):
             want.add((g, a, b))
     got = graph.greedy_matching(spark.createDataFrame(rows, "g string, a string, b string, s double"), ("g",), "a", "b", "s")
     assert {(r.g, r.a, r.b) for r in got.collect()} == want
+
+
+def test_components_of_few_edges_take_no_rounds(spark):
+    random.seed(6)
+    ids = [f"n{k}" for k in random.sample(range(900), 900)]
+    edges = [(ids[k], ids[k + 1]) for k in range(len(ids) - 1) if k % 100]
+    want = {x: min(ids[k - k % 100 + 1 : k - k % 100 + 101] if k % 100 else ids[k - 99 : k + 1]) for k, x in enumerate(ids) if k}
+    spark.sparkContext.setJobGroup("path", "components of paths")
+    got = dict(graph.components(spark.createDataFrame(edges, "a string, b string")).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("path"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and jobs <= 8
