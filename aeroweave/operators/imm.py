@@ -1,17 +1,20 @@
 """Interacting-multiple-model Kalman fusion of a system track's reports.
 
-Inherently sequential per track: reports are grouped by track and filtered in order by NumPy code. Three motion
+Inherently sequential per track: reports are grouped by track and filtered in order by NumPy code, a step of many
+tracks at once; ``filter_track`` is the plain form for one. Three motion
 models run side by side: constant velocity (6 states), coordinated turn with an estimated turn rate (7) and
 constant acceleration (9). They exchange position and velocity at each step by the model probabilities.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ACCURACY
@@ -26,6 +29,7 @@ LEAST_TURN = 1e-4
 LOG_LIMIT = 500.0
 LEAST_STEP = 0.01
 ADAPTIVE_R = np.diag([25.0, 25.0, 50.0])
+TOGETHER = 20_000  # reports whose tracks are filtered together
 ADAPTIVE_KEEP, ADAPTIVE_LAST, ADAPTIVE_LEAST, ADAPTIVE_BUFFER = 0.7, 8, 4, 12
 
 
@@ -186,8 +190,141 @@ def filter_track(track: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=FUSED.names)
 
 
+def _chains(order: int, dt: np.ndarray, q: float) -> tuple[np.ndarray, np.ndarray]:
+    """``chain`` and ``chain_noise`` of each dt, for three axes, derivative-first."""
+    f, noise = np.zeros((2, len(dt), 3 * order, 3 * order))
+    for i in range(order):
+        for j in range(order):
+            a, b = order - 1 - i, order - 1 - j
+            for k in range(3):
+                noise[:, 3 * i + k, 3 * j + k] = q * dt ** (a + b + 1) / ((a + b + 1) * [1, 1, 2][a] * [1, 1, 2][b])
+                if j >= i:
+                    f[:, 3 * i + k, 3 * j + k] = [1, dt, dt * dt / 2][j - i]
+    return f, noise
+
+
+def _turned(x: np.ndarray, dt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States of the turn model moved on, and the Jacobians at these, as ``Model.predict`` has them."""
+    w, ve, vn = x[:, 6], x[:, 3].copy(), x[:, 4].copy()
+    turns = ~(np.abs(w) <= LEAST_TURN)
+    by = np.where(turns, w, 1.0)
+    s, c = np.sin(by * dt), np.cos(by * dt)
+    x = x.copy()
+    x[:, 0] += np.where(turns, (ve * s - vn * (1 - c)) / by, dt * ve)
+    x[:, 1] += np.where(turns, (ve * (1 - c) + vn * s) / by, dt * vn)
+    x[:, 3], x[:, 4] = np.where(turns, ve * c - vn * s, ve), np.where(turns, ve * s + vn * c, vn)
+    x[:, 2] += dt * x[:, 5]
+    ve, vn = x[:, 3], x[:, 4]
+    ds, dc = (by * dt * c - s) / by**2, (by * dt * s - (1 - c)) / by**2
+    f = np.zeros((len(x), 7, 7))
+    f[:, range(7), range(7)] = 1.0
+    f[:, 2, 5] = dt
+    bent = {(0, 3): s / by, (0, 4): (c - 1) / by, (1, 3): (1 - c) / by, (1, 4): s / by, (3, 3): c, (3, 4): -s, (4, 3): s, (4, 4): c}
+    bent |= {(0, 6): ve * ds - vn * dc, (1, 6): ve * dc + vn * ds, (3, 6): dt * (-ve * s - vn * c), (4, 6): dt * (ve * c - vn * s)}
+    for (i, j), value in bent.items():
+        f[:, i, j] = np.where(turns, value, dt if (i, j) in ((0, 3), (1, 4)) else float(i == j))
+    return x, f
+
+
+def _corrected(x: np.ndarray, p: np.ndarray, z: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    y, s = z - x[:, :3], p[:, :3, :3] + r
+    inverse = np.linalg.inv(s)
+    gain = p[:, :, :3] @ inverse
+    x = x + (gain @ y[:, :, None])[:, :, 0]
+    keep = np.broadcast_to(np.eye(x.shape[1]), p.shape).copy()
+    keep[:, :, :3] -= gain
+    p = keep @ p @ keep.transpose(0, 2, 1) + gain @ r @ gain.transpose(0, 2, 1)
+    log = -0.5 * (np.einsum("si,sij,sj->s", y, inverse, y) + np.log((2 * np.pi) ** 3 * np.maximum(np.abs(np.linalg.det(s)), 1e-30)))
+    return x, p, np.maximum(np.exp(np.clip(log, -LOG_LIMIT, LOG_LIMIT)), 1e-300)
+
+
+def filter_tracks(rows: pd.DataFrame) -> pd.DataFrame:
+    """``filter_track`` of many tracks at once: rows lie track by track, in order; a step is one of all tracks."""
+    name = rows["system_track_id"].to_numpy()
+    start = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+    size = np.diff(np.r_[start, len(name)])
+    start, size = (x[np.argsort(-size, kind="stable")] for x in (start, size))  # the longest first: those that go on lead
+    many = int((size >= 2).sum())
+    start, size = start[:many], size[:many]
+    if not many:
+        return pd.DataFrame(columns=FUSED.names)
+    t, place, source = rows["time_sec"].to_numpy(float), rows[["e", "n", "u"]].to_numpy(float), rows["source"].to_numpy()
+    known = ~np.isnan(place[:, :2]).any(axis=1)
+    place = np.nan_to_num(place)
+    variance = np.array([_VARIANCE.get(x, _VARIANCE["radar"]) for x in pd.unique(source)])[pd.factorize(source)[0]]
+    motion = (place[start + 1] - place[start]) / np.maximum(t[start + 1] - t[start], LEAST_STEP)[:, None]
+    motion[~(known[start] & known[start + 1])] = 0.0
+    motion[:, 2] = 0.0
+    models = [Model.start(kind, np.zeros(6)) for kind in ("cv", "ct", "ca")]
+    xs = [np.zeros((many, len(m.x))) for m in models]
+    for x in xs:
+        x[:, :6] = np.concatenate([place[start], motion], axis=1)
+    ps = [np.broadcast_to(m.p, (many, *m.p.shape)).copy() for m in models]
+    mu, before = np.broadcast_to(START_PROBABILITY, (many, 3)).copy(), t[start].copy()
+    out = np.empty((len(t), 10))
+    done = np.zeros(len(t), bool)
+    for k in range(int(size[0])):
+        going = int(np.searchsorted(-size, -k))  # tracks longer than k
+        at = start[:going] + k
+        step, before[:going] = np.maximum(t[at] - before[:going], LEAST_STEP), t[at]
+        g = np.flatnonzero(known[at])
+        if not len(g):
+            continue
+        at, dt, z, r = at[g], step[g], place[at[g]], variance[at[g]]
+        prior = np.maximum(mu[g] @ TRANSITION, 1e-30)
+        share = TRANSITION * mu[g][:, :, None] / prior[:, None, :]
+        x6, p6 = np.stack([x[g, :6] for x in xs], axis=1), np.stack([p[g][:, :6, :6] for p in ps], axis=1)
+        mixed = share.transpose(0, 2, 1) @ x6
+        likelihood = np.empty((len(g), 3))
+        for j in range(3):
+            d = x6 - mixed[:, j, None]
+            x, p = xs[j][g], ps[j][g]
+            p[:, :6, :6] = np.einsum("si,sikl->skl", share[:, :, j], p6 + d[:, :, :, None] * d[:, :, None, :])
+            x[:, :6] = mixed[:, j]
+            if j == 1:
+                x, f = _turned(x, dt)
+                q = np.zeros((len(g), 7, 7))
+                q[:, :6, :6] = _chains(2, dt, NOISE["ct"])[1]
+                q[:, 6, 6] = TURN_NOISE * dt
+            else:
+                f, q = _chains(2, dt, NOISE["cv"]) if j == 0 else _chains(3, dt, NOISE["ca"])
+                x = (f @ x[:, :, None])[:, :, 0]
+            xs[j][g], ps[j][g], likelihood[:, j] = _corrected(x, f @ p @ f.transpose(0, 2, 1) + q, z, r)
+        new = prior * likelihood
+        total = np.nansum(new, axis=1)
+        fine = np.isfinite(total) & (total > 1e-30)
+        mu[g] = np.where(fine[:, None], new / np.where(fine, total, 1.0)[:, None], START_PROBABILITY)
+        out[at, :6] = np.einsum("si,sik->sk", mu[g], np.stack([x[g, :6] for x in xs], axis=1))
+        out[at, 6:9], out[at, 9] = mu[g], xs[1][g, 6]
+        done[at] = True
+    at = np.flatnonzero(done)
+    e, n, u, ve, vn, vu, *last = out[at].T
+    return pd.DataFrame(dict(zip(FUSED.names, (name[at], t[at], e, n, u, ve, vn, vu, np.hypot(ve, vn), np.degrees(np.arctan2(ve, vn)) % 360, source[at], np.ones(len(at), np.int32), *last), strict=True)))
+
+
+def _filtered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole tracks, ``TOGETHER`` reports or more at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= TOGETHER:
+            rows = pd.concat(held, ignore_index=True)
+            ends = rows["system_track_id"].to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])[-1])  # the last track may go on
+            if cut:
+                yield filter_tracks(rows.iloc[:cut])
+            held = [rows.iloc[cut:]]
+            size = 0 if not cut else len(held[0])
+    if held:
+        yield filter_tracks(pd.concat(held, ignore_index=True))
+
+
 def imm_fused(obs: DataFrame, groups: DataFrame) -> DataFrame:
     """Fused tracks of the groups (system_track_id, source, target_id). A shuffle by track, then Arrow batches."""
     names = ("system_track_id", "source", "source_rank", "obs_id", "time_sec", "e", "n", "u")
     rows = obs.where("source != 'spectrum'").join(groups, ["source", "target_id"]).select(*names)
-    return rows.groupBy("system_track_id").applyInPandas(filter_track, FUSED)
+    spark = obs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ordered = rows.repartition(parts, "system_track_id").sortWithinPartitions("system_track_id", F.col("time_sec").asc_nulls_last(), "source_rank", "obs_id")
+    return ordered.mapInPandas(_filtered, FUSED)

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from aeroweave.config import Association
-from aeroweave.operators import associate, graph, pairs
+from aeroweave.operators import associate, graph, imm, pairs
 
 KEYS = ("source_a", "target_id_a", "source_b", "target_id_b")
 
@@ -77,3 +79,19 @@ def test_components_of_few_edges_take_no_rounds(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("path"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == want and jobs <= 8
+
+
+def test_tracks_filtered_together_equal_one_by_one():
+    rng, tracks = np.random.default_rng(2), []
+    for k in range(40):
+        m = int(rng.integers(1, 25))
+        t = np.sort(rng.integers(0, 900, m)).astype(float)
+        place = rng.normal(0, 500, (1, 3)) + t[:, None] * rng.normal(0, 5, (1, 3)) + rng.normal(0, 30, (m, 3))
+        place[rng.random(m) < 0.15] = np.nan
+        tracks.append(pd.DataFrame({"system_track_id": f"ST{k:04}", "source": rng.choice(["adsb", "remote_id", "radar"], m), "source_rank": 0, "obs_id": range(m), "time_sec": t, **dict(zip("enu", place.T))}))
+    want = pd.concat([imm.filter_track(x) for x in tracks], ignore_index=True)
+    got = pd.concat(imm._filtered(iter([*np.array_split(pd.concat(tracks), 7)])), ignore_index=True)
+    got = got.sort_values(["system_track_id", "time_sec"], kind="stable", ignore_index=True)
+    assert len(want) > 200 and (got[["system_track_id", "sources"]] == want[["system_track_id", "sources"]]).all().all()
+    numbers = [c for c in imm.FUSED.names if c not in ("system_track_id", "sources")]
+    assert np.allclose(got[numbers].astype(float), want[numbers].astype(float), rtol=1e-6, atol=1e-6)
